@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, token_counts, urls
+from . import decontaminate, html_text, language, token_counts, token_files, urls
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,5 +33,5 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_transducer, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
+QUERIES = {f.__name__: f for f in (op2_token_transducer, op3_token_files, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
 ORACLE_SQL: dict[str, str] = {}
