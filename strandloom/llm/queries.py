@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, token_counts, token_files, urls
+from . import decontaminate, html_text, language, minhash, token_counts, token_files, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op5_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,5 +37,5 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_transducer, op3_token_files, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
+QUERIES = {f.__name__: f for f in (op2_token_transducer, op3_token_files, op5_super_minhash, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
 ORACLE_SQL: dict[str, str] = {}
