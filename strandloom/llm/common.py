@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +72,27 @@ def text_bytes(column) -> list[bytes]:
 def crc_mod(col: str, modulus: int):
     """crc32 of an id written as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def sorted_groups(batches, keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows with equal first ``keys`` columns, across batches; rows come sorted."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(n - 1, dtype=bool)
+        for column in columns:
+            change |= column[1:] != column[:-1]
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+        for a, b in zip(starts, starts[1:], strict=False):
+            key = tuple(column[a].item() for column in columns)
+            if key != current:
+                if held:
+                    yield current, pa.Table.from_batches(held)
+                held, current = [], key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held)

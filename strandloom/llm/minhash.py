@@ -24,14 +24,12 @@ documents in candidate pairs, which a bloom filter of at most 16 MB picks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, staged, text_bytes
+from .common import id_text, small_batches, sorted_groups, staged, text_bytes
 from .components import connected_components
 from .words import WordHashes, mix64, shingle_hashes, space_words
 
@@ -200,7 +198,7 @@ def _across(placed: DataFrame, nodes: DataFrame, first: DataFrame, least: float)
     some = rows.where("stray").withColumn("x", tile("r_tiles", 2)).withColumn("y", every("n_tiles")).withColumn("side", F.lit(0)).select(columns)
 
     def run(batches):
-        for _, group in _groups(batches, 3):
+        for _, group in sorted_groups(batches, 3):
             side = group.column("side").to_numpy()
             node, c = group.column("node").to_numpy(), group.column("c").to_numpy()
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(len(node), -1)
@@ -214,30 +212,6 @@ def _across(placed: DataFrame, nodes: DataFrame, first: DataFrame, least: float)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _groups(batches, keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows with equal first ``keys`` columns, across batches; rows come sorted."""
-    held: list[pa.RecordBatch] = []
-    current = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        columns = [batch.column(k).to_numpy() for k in range(keys)]
-        change = np.zeros(n - 1, dtype=bool)
-        for column in columns:
-            change |= column[1:] != column[:-1]
-        starts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
-        for a, b in zip(starts, starts[1:], strict=False):
-            key = tuple(column[a].item() for column in columns)
-            if key != current:
-                if held:
-                    yield current, pa.Table.from_batches(held)
-                held, current = [], key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield current, pa.Table.from_batches(held)
-
-
 def bloom(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
     """Bit table (bool bytes packed) of a one-column id frame; its size follows the ids up to 16 MB."""
     n = ids.count()

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, minhash, token_counts, token_files, urls
+from . import decontaminate, html_text, language, minhash, packing, token_counts, token_files, urls
 from .common import table
 
 
+def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
 def op2_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
@@ -37,5 +41,5 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_transducer, op3_token_files, op5_super_minhash, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
+QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op5_super_minhash, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
 ORACLE_SQL: dict[str, str] = {}
