@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language, minhash, packing, token_counts, token_files, urls
+from . import decontaminate, embeddings, html_text, language, minhash, packing, token_counts, token_files, urls
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op5_super_minhash, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
+QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op4_multi_index, op5_super_minhash, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
 ORACLE_SQL: dict[str, str] = {}
