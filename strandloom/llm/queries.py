@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html_text, language, minhash, packing, token_counts, token_files, urls
+from . import decontaminate, embeddings, html_text, language, minhash, ngram_trie, packing, token_counts, token_files, urls
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(table(spark, sf_dir, "documents"))
+
+
 def op8_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -45,5 +49,5 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op4_multi_index, op5_super_minhash, op6_suffix_automaton, op8_host_words, op9_language_mixture, op10_best_region)}
+QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op4_multi_index, op5_super_minhash, op6_suffix_automaton, op7_ngram_trie, op8_host_words, op9_language_mixture, op10_best_region)}
 ORACLE_SQL: dict[str, str] = {}
