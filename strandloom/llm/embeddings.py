@@ -96,7 +96,9 @@ def _k_means(x: np.ndarray, size: int, rounds: int) -> np.ndarray:
     for _ in range(rounds):
         near = np.concatenate([_squares(x[i : i + 4096], book).argmin(axis=1) for i in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(book))
-        sums = np.stack([np.bincount(near, weights=x[:, k], minlength=len(book)) for k in range(x.shape[1])], axis=1)
+        sums = np.zeros_like(book)
+        for k in range(x.shape[1]):
+            sums[:, k] = np.bincount(near, weights=x[:, k], minlength=len(book))
         book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
     return book
 

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import id_text, small_batches, sorted_groups, text_bytes
 from .words import WordHashes, mix64, space_words
 
-FOLD, HELD_OUT, MU = 7, 2, 60.0
+FOLD, HELD_OUT, MU = 7, 2, 100.0
 BATCH_TOKENS, BATCH_DOCS = 3_000_000, 60_000
 SAMPLE, LEAST_SHARE = 2000, 1e-4
 END, BEGIN = np.uint64(1), np.uint64(2)
