@@ -33,6 +33,7 @@ WINDOW = 10
 #: Item words in one automaton: some 2 states a word, below 1 KB each.
 GROUP_WORDS = 100_000
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _TABLE_BITS = 20
 
 
@@ -242,7 +243,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_spans(text: str, spans: list[int]) -> str:
     """``text`` without the words of the spans and what stands between them."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     out, last = [], 0
     for a, b in zip(spans[::2], spans[1::2], strict=True):
         out.append(text[last : at[a][0]])

@@ -85,11 +85,13 @@ class MixtureModel:
 
     def fit(self, texts: list[str]) -> list[tuple[str, float, dict[str, float]]]:
         """(language, its share, shares of the chosen set) of each text, worked out together."""
+        if not self.names:
+            return [("und", 0.0, {})] * len(texts)
         scores = [self.word_scores(t) for t in texts]
         sizes = np.array([len(s) for s in scores])
         out: list = [("und", 0.0, {})] * len(texts)
         own = np.flatnonzero(sizes)
-        if not len(own) or not self.names:
+        if not len(own):
             return out
         p = np.exp(np.concatenate([scores[i] for i in own]).clip(-60)).astype(np.float32)
         n = sizes[own]

@@ -188,7 +188,7 @@ def pair_codes(n: np.ndarray, word_count: np.ndarray, mu_share: float) -> np.nda
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays in one blob: byte planes, compressed (small numbers leave planes of zeros)."""
     head = np.array([len(arrays), *(v for a in arrays for v in (ord(a.dtype.char), len(a)))], dtype=np.int64)
-    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + planes)
 
 
