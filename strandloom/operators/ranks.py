@@ -26,11 +26,18 @@ def tie_correction(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def rank_sum_z(df: DataFrame, keys: list[str], group: str, first: str, second: str, value: str) -> DataFrame:
     """Wilcoxon rank-sum z of ``first`` against ``second`` within keys: tie-corrected variance, continuity towards zero."""
-    both = df.where(F.col(group).isin(first, second))
-    ranks = average_ranks(both, value, keys)
-    ties = ranks.groupBy(*keys).agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
-    mine = both.where(F.col(group) == first).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k")).join(ranks, [*keys, value])
-    summed = mine.groupBy(*keys).agg(F.sum(F.col("k") * F.col("avg_rank")).alias("rank_sum"), F.sum("k").cast("double").alias("n1")).join(ties, keys)
+    counted = df.where(F.col(group).isin(first, second)).groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("n"))
+    return rank_sum_z_of_counts(counted, keys, group, first, value, "n")
+
+
+def rank_sum_z_of_counts(counted: DataFrame, keys: list[str], group: str, first, value: str, count: str) -> DataFrame:
+    """The same over (keys, group, value, count) rows: how often each group has each value."""
+    by = Window.partitionBy(*keys).orderBy(value)
+    values = counted.groupBy(*keys, value).agg(F.sum(count).alias("n"), F.sum(F.when(F.col(group) == F.lit(first), F.col(count)).otherwise(0)).alias("k"))
+    upto = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("rank", upto - F.col("n") + (F.col("n") + 1) / F.lit(2.0))
+    t = F.col("n").cast("double")
+    summed = ranked.groupBy(*keys).agg(F.sum(F.col("k") * F.col("rank")).alias("rank_sum"), F.sum("k").cast("double").alias("n1"), F.sum(t).alias("n"), F.sum(t * t * t - t).alias("ties")).where("n1 > 0")
     n1, n = F.col("n1"), F.col("n")
     n2 = n - n1
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
