@@ -1 +1 @@
-
+"""Writers of the domain's text formats."""
