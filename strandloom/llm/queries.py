@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html_text, language, minhash, ngram_trie, packing, token_counts, token_files, urls
+from . import decontaminate, embeddings, html_text, language, minhash, ngram_trie, oracle, packing, token_counts, token_files, urls
 from .common import table
 
 
@@ -50,4 +50,4 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op4_multi_index, op5_super_minhash, op6_suffix_automaton, op7_ngram_trie, op8_host_words, op9_language_mixture, op10_best_region)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_multi_index": oracle.OP4, "op5_super_minhash": oracle.OP5, "op6_suffix_automaton": oracle.OP6}
