@@ -48,7 +48,7 @@ def gene_tests(a: DataFrame, b: DataFrame, cells: tuple[int, int], settings: Usa
         (F.col("above1") / cells[1]).alias("pct2"),
         F.when((mean[0] > 0) & (mean[1] > 0), F.log(2.0, mean[0] / mean[1])).otherwise(F.lit(float("nan"))).alias("logFC"),
         two_sided("z").alias("p_gene"),
-    )
+    ).persist()
     return ranks.holm(tested.withColumn("pct_diff", F.col("pct1") - F.col("pct2")), "p_gene", "gene", out="p_gene_adj")
 
 
@@ -75,7 +75,7 @@ def isoform_tests(a: DataFrame, b: DataFrame, map_a: DataFrame, map_b: DataFrame
         columns = [c.split()[0] for c in _ROW.split(", ")]
         return pd.DataFrame([{"gene": gene.gene.iloc[0], **r} for r in found or []], columns=columns)
 
-    tested = rows.groupBy("gene").applyInPandas(test, _ROW)
+    tested = rows.groupBy("gene").applyInPandas(test, _ROW).persist()  # fits are read several times below
     genes = ranks.benjamini_hochberg(tested.select("gene", "p_DTU_gene").distinct(), "p_DTU_gene", "gene", out="p_DTU_gene_adj").select("gene", "p_DTU_gene_adj")
     return ranks.benjamini_hochberg(tested.withColumn("_key", F.struct("gene", "isoform")), "p_transcript", "_key", out="p_transcript_adj").drop("_key").join(genes, "gene")
 
