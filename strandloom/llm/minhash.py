@@ -10,7 +10,9 @@ Documents with equal sets are one class. Signatures are cut into bands; classes
 band share a bucket. A bucket's pairs are never enumerated: first every member is held against the
 bucket's least member, on full sets; where buckets still join several components, the members
 outside the least member's component are held against the bucket by their signatures, and pairs
-above a safe estimate on full sets. Union-find over the confirmed links gives the components.
+above a safe estimate on full sets, tile by tile, the most alike first and only while they still
+lie in different components; a tile returns the links that join something, never pairs. Union-find
+over the confirmed links gives the components.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing. Rows with the
 same id stand for themselves. A row without an id has no component and is kept; it lends none its
@@ -150,21 +152,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     estimate = percent / 100 - SAFE_MARGIN
 
     stars = placed.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    links = confirm(_alike(stars, nodes, estimate), nodes, texts, width, percent)
-    first = staged(connected_components(links), "minhash-first")
+    pairs = staged(_alike(stars, nodes, estimate), "minhash-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    component = staged(connected_components(confirm(pairs, full_sets(ends, nodes, texts, width), percent)), "minhash-components")
 
-    rest = confirm(_alike(_across(placed, nodes, first, estimate), nodes, estimate).join(links, ["a", "b"], "left_anti"), nodes, texts, width, percent)
-    at_a, at_b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in "ab")
-    merged = connected_components(rest.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
+    tiles = Tiles(placed, nodes, component)
+    near = staged(tiles.near(estimate), "minhash-near")
+    if not near.isEmpty():
+        sets = full_sets(near.select("node").distinct(), nodes, texts, width)
+        component = _merged(component, staged(tiles.links(near, sets, estimate, percent), "minhash-links"))
 
-    own = nodes.select("node", "least").join(first, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
-    own = own.join(merged.select(F.col("node").alias("c"), F.col("component").alias("c2")), "c", "left").select("node", "least", F.coalesce("c2", "c").alias("c"))
-    own = staged(own, "minhash-own")
+    own = staged(nodes.select("node", "least").join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "minhash-own")
     smallest = staged(own.groupBy("c").agg(F.min("least").alias("smallest")), "minhash-smallest")
     named = staged(own.join(smallest, "c").select("node", "smallest"), "minhash-named")
     out = sketches.select("_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("_id").isNotNull(), F.coalesce("smallest", "_id"))
-    return out.select(F.col("_id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    named = F.when(F.col("_id").isNotNull(), F.coalesce("smallest", "_id"))
+    return out.select(F.col("_id").alias("doc_id"), "n_shingles", named.alias("component_id"), F.coalesce(F.col("_id") == named, F.lit(True)).alias("kept"))
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links between nodes."""
+    at_a, at_b = (component.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in "ab")
+    moved = connected_components(links.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
+    old = component.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return staged(old.unionByName(moved.join(component, "node", "left_anti")), "minhash-components")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -180,36 +191,97 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(at_b, "b").join(at_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _across(placed: DataFrame, nodes: DataFrame, first: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) in a bucket, of different components, whose signatures agree well enough.
+class Tiles:
+    """The buckets that join several components, cut into tiles of about TILE strays by TILE members.
 
-    Only the strays, members outside their bucket's leading component, are held against the
-    bucket; tiles of at most about TILE strays by TILE members keep a task's memory bounded.
+    Strays are members outside their bucket's leading component; only they are held against the
+    bucket. Two members meet in the first bucket they share. ``near`` finds by signatures who may
+    have a link across components; ``links`` confirms such pairs on full sets, the most alike first,
+    those that are joined already left out, and returns the links that join something: no more
+    than a tile has rows.
     """
-    comp = staged(placed.where("n > 2").join(first, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("c")), "minhash-comp")
-    lead = comp.where("node = leader").select("bucket", F.col("c").alias("lead"))
-    strays = staged(comp.join(lead, "bucket").withColumn("stray", F.col("c") != F.col("lead")), "minhash-strays")
-    sizes = staged(strays.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("long")).alias("r")).where("r > 0").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("n_tiles"), F.ceil(F.col("r") / TILE).cast("int").alias("r_tiles")), "minhash-tiles")
-    rows = strays.join(sizes, "bucket").join(nodes.select("node", "sig"), "node")
-    tile = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["bucket", "x", "y", "side", "node", "c", "sig"]
-    all_ = rows.withColumn("y", tile("n_tiles", 1)).withColumn("x", every("r_tiles")).withColumn("side", F.lit(1)).select(columns)
-    some = rows.where("stray").withColumn("x", tile("r_tiles", 2)).withColumn("y", every("n_tiles")).withColumn("side", F.lit(0)).select(columns)
-
-    def run(batches):
-        for _, group in sorted_groups(batches, 3):
-            side = group.column("side").to_numpy()
-            node, c = group.column("node").to_numpy(), group.column("c").to_numpy()
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(len(node), -1)
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for i in left.tolist():
-                hit = right[((sig[right] == sig[i]).mean(axis=1) >= least) & (c[right] != c[i])]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[hit], node[i])), pa.array(np.maximum(node[hit], node[i]))], ["a", "b"])
 
-    dealt = all_.unionByName(some).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    COLUMNS = ("bucket", "x", "y", "side", "node")
+
+    def __init__(self, placed: DataFrame, nodes: DataFrame, component: DataFrame):
+        comp = staged(placed.where("n > 2").join(component, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("c")), "minhash-comp")
+        lead = comp.where("node = leader").select("bucket", F.col("c").alias("lead"))
+        strays = staged(comp.join(lead, "bucket").withColumn("stray", F.col("c") != F.col("lead")), "minhash-strays")
+        sizes = strays.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("long")).alias("r")).where("r > 0")
+        sizes = staged(sizes.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("n_tiles"), F.ceil(F.col("r") / TILE).cast("int").alias("r_tiles")), "minhash-tiles")
+        rows = strays.join(sizes, "bucket")
+        tile = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        all_ = rows.withColumn("y", tile("n_tiles", 1)).withColumn("x", every("r_tiles")).withColumn("side", F.lit(1)).select(*self.COLUMNS, "c")
+        some = rows.where("stray").withColumn("x", tile("r_tiles", 2)).withColumn("y", every("n_tiles")).withColumn("side", F.lit(0)).select(*self.COLUMNS, "c")
+        self.rows, self.nodes = all_.unionByName(some), nodes
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def near(self, least: float) -> DataFrame:
+        """(tile, side, node, c) of all that have a partner of another component alike enough."""
+
+        def run(batches):
+            for (bucket, x, y), group in sorted_groups(batches, 3):
+                side, node, c = (group.column(k).to_numpy() for k in ("side", "node", "c"))
+                keep = np.zeros(len(side), dtype=bool)
+                for i, hit, _ in _partners(group, bucket, side, node, c, least):
+                    keep[i] = True
+                    keep[hit] = True
+                if keep.any():
+                    n = int(keep.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()), pa.array(side[keep]), pa.array(node[keep]), pa.array(c[keep])], [*self_columns, "c"])
+
+        self_columns = self.COLUMNS
+        signed = self.rows.join(self.nodes.select("node", "bands", "sig"), "node").select(*self.COLUMNS, "c", "bands", "sig")
+        return self._dealt(signed).mapInArrow(run, "bucket long, x int, y int, side int, node long, c long")
+
+    def links(self, near: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+        """(a, b): confirmed links between members of different components, a spanning forest of each tile's."""
+
+        def run(batches):
+            for (bucket, _, _), group in sorted_groups(batches, 3):
+                side, node, c = (group.column(k).to_numpy() for k in ("side", "node", "c"))
+                sets = [np.frombuffer(s, dtype=np.uint64) for s in group.column("set").to_pylist()]
+                pairs = [(-s, i, j) for i, hit, share in _partners(group, bucket, side, node, c, least) for j, s in zip(hit.tolist(), share.tolist(), strict=True)]
+                parent: dict[int, int] = {}
+
+                def find(v: int, parent=parent) -> int:
+                    while (up := parent.get(v, v)) != v:
+                        parent[v] = v = parent.get(up, up)
+                    return v
+
+                a, b = [], []
+                for _, i, j in sorted(pairs):
+                    p, q = find(int(c[i])), find(int(c[j]))
+                    if p != q:
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                            parent[p] = q
+                            a.append(node[i])
+                            b.append(node[j])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        signed = near.join(self.nodes.select("node", "bands", "sig"), "node").join(sets, "node").select(*self.COLUMNS, "c", "bands", "sig", "set")
+        return self._dealt(signed).mapInArrow(run, "a long, b long")
+
+
+def _partners(group: pa.Table, bucket: int, side: np.ndarray, node: np.ndarray, c: np.ndarray, least: float):
+    """Of each stray of a tile: (its row, rows of partners of other components, their signatures' agreement)."""
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(len(side), -1)
+    bands = np.stack(group.column("bands").to_pylist())
+    at = (bands == bucket).argmax(axis=1)
+    earlier = np.arange(bands.shape[1])[None, :] < at[:, None]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for i in left.tolist():
+        share = (sig[right] == sig[i]).mean(axis=1)
+        ok = (share >= least) & (c[right] != c[i]) & (node[right] != node[i])
+        hit, share = right[ok], share[ok]
+        first = ~((bands[hit] == bands[i]) & earlier[hit]).any(axis=1)
+        if first.any():
+            yield i, hit[first], share[first]
 
 
 def bloom(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
@@ -235,9 +307,9 @@ def bloom_slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
 
 
-def full_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, set) of every node in the pairs, made from the text of its smallest id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").where("least IS NOT NULL")
+def full_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, set) of the nodes, made from the text of the smallest id of each."""
+    wanted = wanted.join(nodes.select("node", "least"), "node").where("least IS NOT NULL")
     wanted = staged(wanted, "minhash-wanted")
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(bloom(wanted.select("least")))
@@ -261,10 +333,8 @@ def full_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int)
     return staged(made.dropDuplicates(["node"]), "minhash-sets")
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets share ``percent`` of their union or more."""
-    pairs = staged(pairs, "minhash-pairs")
-    sets = full_sets(pairs, nodes, texts, width)
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose full sets share ``percent`` of their union or more."""
     at_a, at_b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
 
     def run(batches):
