@@ -168,6 +168,11 @@ def test_url_verdicts(spark, url, host, path, rule, verdict):
 
 def test_segmentation_is_the_likeliest():
     model = urls.HostModel()
+    for prefix in ("", "www.", "blog.", "m."):
+        for host in ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets", "buyviagra", "onlinecasino"):
+            assert model.score(f"{prefix}{host}.example.com", "/en/7.html") > 0, host
+        for host in ("tionsh", "ththing", "theron", "thered", "dailytimes", "bookshop", "citynews"):
+            assert model.score(f"{prefix}{host}.example.net", "/fr/7.html") < 0, host
     assert model.segmenter.split("cheappills") == ["cheap", "pills"]
     assert model.segmenter.split("casino-win") == ["casino", "win"]
     assert model.segmenter.split("freequxbets") == ["free", "qux", "bets"]
