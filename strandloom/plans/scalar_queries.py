@@ -17,13 +17,17 @@ def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cigar", made)
 
 
+def _exons(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """The alignments with their exons as a column, so that the fold runs once however often it is read."""
+    return _cigars(spark, sf_dir).withColumn("exons", cigar.exons(F.col("pos") - shift, cigar.operations(F.col("cigar"))))
+
+
 _CIGAR_SQL = "(SELECT l_orderkey, l_linenumber, l_partkey + 1 AS pos, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 9 + 1 AS k FROM lineitem)"
 
 
 def cigar_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cigar.exons(F.col("pos"), cigar.operations(F.col("cigar")))
-    text_of = lambda part: F.array_join(F.transform(found, lambda e: e[part].cast("string")), ",")
-    return _cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", "cigar", text_of("start").alias("starts"), text_of("end").alias("ends"))
+    text_of = lambda part: F.array_join(F.transform("exons", lambda e: e[part].cast("string")), ",")
+    return _exons(spark, sf_dir).select("l_orderkey", "l_linenumber", "cigar", text_of("start").alias("starts"), text_of("end").alias("ends"))
 
 
 def cigar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +36,8 @@ def cigar_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cigar_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = cigar.introns(cigar.exons(F.col("pos"), cigar.operations(F.col("cigar"))))
-    return _cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(F.transform(gaps, lambda g: F.concat_ws("-", g["start"].cast("string"), g["end"].cast("string"))), ",").alias("introns"))
+    gaps = cigar.introns(F.col("exons"))
+    return _exons(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(F.transform(gaps, lambda g: F.concat_ws("-", g["start"].cast("string"), g["end"].cast("string"))), ",").alias("introns"))
 
 
 def read_identity_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +48,10 @@ def read_identity_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bed_block_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cigar.exons(F.col("pos") - 1, cigar.operations(F.col("cigar")))
+    found = F.col("exons")
     sizes, starts = text.block_lists(found, F.col("pos") - 1)
     row = F.concat_ws("\t", F.lit("chr1"), (F.col("pos") - 1).cast("string"), F.element_at(found, -1)["end"].cast("string"), F.format_string("G%d;G%d.%d", "l_orderkey", "l_orderkey", "l_linenumber"), F.lit("40"), F.lit("+"), F.size(found).cast("string"), sizes, starts)
-    return _cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", row.alias("bed"))
+    return _exons(spark, sf_dir, 1).select("l_orderkey", "l_linenumber", row.alias("bed"))
 
 
 def exon_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
