@@ -12,7 +12,9 @@ the empty string; other columns of the tables play no part.
 
 Scale: no shuffle. The automaton goes to the executors in groups of at most ``group_words`` item
 words (a broadcast of bounded size). More item words than that make several groups, run one after
-the other over a staged table, so one automaton of bounded size is in memory at any time.
+the other over a staged table, so one automaton of bounded size is in memory at any time; the driver
+reads items as groups need them. All groups scan the original text, and coverage and cuts follow from
+the joined spans, so results do not depend on the grouping.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, staged, text_bytes
+from .common import drop_staged, id_text, small_batches, staged, text_bytes
 from .words import alnum_words
 
 WINDOW = 10
@@ -204,30 +206,58 @@ def item_groups(items: DataFrame, id_col: str, text_col: str, group_words: int)
     yield group
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, group_words: int = GROUP_WORDS, keep_text: bool = False) -> DataFrame:
-    """Per document: _id, n_words, spans (flat array of starts and ends, in words), item_ids (sorted); _text if kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    df = id_text(docs, id_col, text_col).selectExpr("_id", "_text", "0L AS n_words", "CAST(array() AS array<bigint>) AS spans", "CAST(array() AS array<string>) AS item_ids")
-    groups = list(item_groups(items, item_id, item_text, group_words))
-    for k, group in enumerate(groups):
+def _with_last(groups: Iterator) -> Iterator[tuple[list, bool]]:
+    """Each group and whether it is the last; one group is read ahead, so the driver holds two."""
+    group = next(groups)
+    for ahead in groups:
+        yield group, False
+        group = ahead
+    yield group, True
+
+
+def _scanned(df: DataFrame, at: int, groups: Iterator, window: int, finish=None, schema=None) -> DataFrame:
+    """``df`` with its last columns, n_words, spans and item_ids, filled in from all groups.
+
+    Every group scans the whole text in column ``at``; spans of several groups are joined. ``finish`` turns
+    the batches of the last group into batches of ``schema``.
+    """
+    spark = df.sparkSession
+    names, first = df.columns, len(df.columns) - 3
+    before = None
+    for group, last in _with_last(groups):
         shared = spark.sparkContext.broadcast(group)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             automaton = SuffixAutomaton(shared.value, window)
             for batch in batches:
-                n_words, spans, names = [], [], []
-                for text, had, known in zip(text_bytes(batch.column("_text")), batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True):
-                    words = alnum_words(text)
+                n_words, spans, item_ids = [], [], []
+                for text, had, known in zip(text_bytes(batch.column(at)), batch.column(first + 1).to_pylist(), batch.column(first + 2).to_pylist(), strict=True):
+                    words = alnum_words(text or b"")
                     new, found = automaton.scan(words)
                     n_words.append(len(words))
-                    spans.append([x for s in _joined([*zip(had[::2], had[1::2], strict=True), *new]) for x in s] if had else [x for s in new for x in s])
-                    names.append(sorted(found.union(known)))
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["_id", "_text", "n_words", "spans", "item_ids"])
+                    spans.append([x for s in (_joined([*zip(had[::2], had[1::2], strict=True), *new]) if had else new) for x in s])
+                    item_ids.append(sorted(found.union(known)))
+                out = pa.RecordBatch.from_arrays([*batch.columns[:first], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(item_ids, pa.list_(pa.string()))], names)
+                yield finish(out) if last and finish else out
 
-        df = df.mapInArrow(run, "_id long, _text string, n_words long, spans array<bigint>, item_ids array<string>")
-        if k < len(groups) - 1:
+        df = df.mapInArrow(run, schema if last and schema else df.schema)
+        if not last:
             df = staged(df, "decontaminate")
+            shared.destroy()
+            if before is not None:
+                drop_staged(spark, before)
+            before = df
+    return df
+
+
+_EMPTY = ("0L", "CAST(array() AS array<bigint>)", "CAST(array() AS array<string>)")
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, group_words: int = GROUP_WORDS, keep_text: bool = False) -> DataFrame:
+    """Per document: _id, n_words, spans (flat array of starts and ends, in words), item_ids (sorted); _text if kept."""
+    small_batches(docs.sparkSession)
+    df = id_text(docs, id_col, text_col).selectExpr("_id", "_text", *(f"{e} AS {n}" for e, n in zip(_EMPTY, ("n_words", "spans", "item_ids"), strict=True)))
+    df = _scanned(df, 1, item_groups(items, item_id, item_text, group_words), window)
     return df if keep_text else df.drop("_text")
 
 
@@ -254,40 +284,30 @@ def without_spans(text: str, spans: list[int]) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", size_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, group_words: int = GROUP_WORDS) -> DataFrame:
     """The documents, all their columns, without benchmark passages.
 
-    Spans that windows cover are cut from the text (``size_col``, if there, follows); a document of
+    Spans that windows of any item cover are cut at once from the text (``size_col``, if there, follows); a document of
     whose words more than ``max_coverage`` are covered goes as a whole. Clean rows stay as they are.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    df, columns = docs, docs.columns
+    small_batches(docs.sparkSession)
+    columns, schema = docs.columns, docs.schema
     at = columns.index(text_col)
-    groups = list(item_groups(items, item_id, item_text, group_words))
-    for k, group in enumerate(groups):
-        shared = spark.sparkContext.broadcast(group)
 
-        def run(batches, shared=shared):
-            automaton = SuffixAutomaton(shared.value, window)
-            for batch in batches:
-                texts, keep = batch.column(at).to_pylist(), []
-                for i, text in enumerate(texts):
-                    words = alnum_words((text or "").encode())
-                    spans, _ = automaton.scan(words)
-                    covered = sum(b - a for a, b in spans)
-                    keep.append(covered <= max_coverage * len(words))
-                    if spans:
-                        texts[i] = without_spans(text, [x for s in spans for x in s])
-                arrays = list(batch.columns)
-                arrays[at] = pa.array(texts, arrays[at].type)
-                if size_col in columns:
-                    j = columns.index(size_col)
-                    sizes = arrays[j].to_pylist()
-                    arrays[j] = pa.array([len(t) if t is not None and t != old else n for t, old, n in zip(texts, batch.column(at).to_pylist(), sizes, strict=True)], arrays[j].type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        df = df.mapInArrow(run, docs.schema)
-        if k < len(groups) - 1:
-            df = staged(df, "decontaminate")
-    return df
+    def cut(batch):
+        texts, keep = batch.column(at).to_pylist(), []
+        for i, (n_words, spans) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
+            keep.append(sum(spans[1::2]) - sum(spans[::2]) <= max_coverage * n_words)
+            if spans:
+                texts[i] = without_spans(texts[i], spans)
+        arrays = list(batch.columns[: len(columns)])
+        arrays[at] = pa.array(texts, arrays[at].type)
+        if size_col in columns:
+            j = columns.index(size_col)
+            sizes = arrays[j].to_pylist()
+            arrays[j] = pa.array([len(t) if t is not None and t != old else n for t, old, n in zip(texts, batch.column(at).to_pylist(), sizes, strict=True)], arrays[j].type)
+        return pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
+
+    own = "_" * (1 + max(map(len, columns)))  # longer than any column's name
+    df = docs.selectExpr("*", *(f"{e} AS `{own}{k}`" for k, e in enumerate(_EMPTY)))
+    return _scanned(df, at, item_groups(items, item_id, item_text, group_words), window, cut, schema)
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -46,6 +46,23 @@ def test_spans_are_cut_and_clean_rows_stay(spark, docs):
     assert decontaminate.decontaminate(frame, items).columns == frame.columns
 
 
+
+def test_cutting_does_not_depend_on_groups(spark, docs):
+    x, y = ([f"{c}{k}" for k in range(40)] for c in "xy")
+    # items that overlap in the documents, and two whose shares only together pass the limit
+    items = spark.createDataFrame([("a", " ".join(x[:10])), ("b", " ".join(x[5:15])), ("c", " ".join(y[:12])), ("d", " ".join(y[12:22]))], "item_id string, text string")
+    rest = [f"r{k}" for k in range(40)]
+    rows = [(1, " ".join([*rest[:20], *x[:15], *rest[20:]])), (2, " ".join([*y[:12], *rest[:16], *y[12:22]])), (3, " ".join(rest)), (4, " ".join([*rest, *x[:5], *x[5:15]])), (5, None)]
+    want = {1: " ".join(rest[:20]) + "  " + " ".join(rest[20:]), 3: " ".join(rest), 4: " ".join(rest) + " ", 5: None}
+    frame = docs(rows).selectExpr("*", "'s' AS spans", "7 AS n_words", "length(text) AS n_chars")
+    for group_words in (100_000, 20, 1):
+        out = decontaminate.decontaminate(frame, items, group_words=group_words)
+        assert out.columns == frame.columns
+        found = {r.doc_id: r for r in out.collect()}
+        assert {k: r.text for k, r in found.items()} == want, group_words
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) and (r.spans, r.n_words) == ("s", 7) for r in found.values())
+
+
 def corpus(n, seed=0):
     rng = random.Random(seed)
     parts = {"en": ["the", "and", "ing", "th", "wh", "ed"], "de": ["der", "sch", "ich", "ein", "und", "ge"], "fr": ["eau", "oux", "que", "le", "é", "ment"]}
