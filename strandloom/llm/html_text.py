@@ -5,7 +5,9 @@ learnt from labelled pages (pages that mark their content with ``article`` or ``
 odds of a feature, inside against outside the content. A linear scan (Kadane) finds the best
 contiguous region; its blocks are the main text. Elements that never are article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; by element
-name or by class and id words) are left out and count against a region that would span them.
+name or by whole class and id names) are left out before the scan, with their tags, so a region
+spans them at no cost. Where a page's only article or main stands inside an element left out by a
+layout class, the article counts.
 
 Defined results: null or empty HTML, and pages without a positive region, give the empty text.
 Markup may be broken: a ``<`` that starts no tag is text, unclosed elements end with their
@@ -34,22 +36,41 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SKIPPED = frozenset("nav header footer aside form menu button dialog head label fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset(("p", "li", "dt", "dd", "option"))
-_BOILERPLATE = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|header|masthead|footer|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|toolbar|skip)(?=$|[\s_-])""", re.I)
+#: Class and id words of page furniture; article or main inside such an element may still be the text.
+_LAYOUT = frozenset("banner cookie cookies consent gdpr notice popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer share sharing social newsletter subscribe signup login search widget toolbar skip".split())
+#: Class and id words of foreign texts, which have articles of their own.
+_FOREIGN = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments disqus respond replies reply related recommended".split())
+#: Words that stand beside them in a name and leave its meaning.
+_PARTS = frozenset("area bar block body bottom box btn button buttons center container form global google group heading icon icons inner item items left link links list mobile module outer page panel popular post posts primary reader right row secondary section site slot static sticky sub text title top unit user view wrap wrapper".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _WHITE = re.compile(r"\s+")
 
 
-def _left_out(name: str, attributes: str) -> bool:
+def _furniture(value: str) -> int:
+    """1 if a whole name of a class or id says layout, 2 if one says foreign text; names like no-sidebar say neither."""
+    found = 0
+    for token in value.lower().split():
+        pieces = [x for x in re.split(r"[_-]+", token) if x and not x[0].isdigit()]
+        if all(x in _LAYOUT or x in _FOREIGN or x in _PARTS for x in pieces):
+            found = max(found, 2 if any(x in _FOREIGN for x in pieces) else int(any(x in _LAYOUT for x in pieces)))
+    return found
+
+
+def _left_out(name: str, attributes: str) -> int:
+    """2: never article text; 1: by a class or id of the layout alone; 0: may be article text."""
     if name in SKIPPED:
-        return True
+        return 2
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key == "role" and value.lower() in _ROLES or key in ("class", "id") and _BOILERPLATE.search(value):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key == "role" and value.lower() in _ROLES:
+            return 2
+        if key in ("class", "id"):
+            found = max(found, _furniture(value))
+    return found
 
 
 class Block:
@@ -65,9 +86,10 @@ class Block:
 def read_blocks(page: str) -> list[Block]:
     """The page's blocks in order; ``content``: inside article or main; ``skipped``: never article text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, left out from here on, content from here on
+    stack: list[tuple[str, int, bool, bool]] = []  # element; from here on: left out, content, article in a layout element
     pieces: list[str] = []
-    tags: list[str] = []
+    tags: tuple[list[str], list[str]] = ([], [])  # of elements that may be text, of those left out
+    inside_layout: list[Block] = []
     linked = [0, 0]  # letters in links, letters
 
     def flush() -> None:
@@ -75,9 +97,12 @@ def read_blocks(page: str) -> list[Block]:
         pieces.clear()
         if text:
             name = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "body")
-            skipped, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, tags.copy(), f"{name}{':linked' if 2 * linked[0] > linked[1] else ''}", content, skipped))
-            tags.clear()
+            level, content, inside = stack[-1][1:] if stack else (0, False, False)
+            own = tags[level > 0]
+            out.append(Block(text, own.copy(), f"{name}{':linked' if 2 * linked[0] > linked[1] else ''}", content, level > 0))
+            if inside and level == 1:
+                inside_layout.append(out[-1])
+            own.clear()
         linked[0] = linked[1] = 0
 
     def add(raw: str) -> None:
@@ -96,16 +121,15 @@ def read_blocks(page: str) -> list[Block]:
         if not name:
             continue
         if m[2] or m[5]:  # an end tag
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name in BLOCKS:
                 flush()
-                tags.append("/" + name)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+                tags[bool(stack) and stack[depth][1] > 0].append("/" + name)
             if depth >= 0 and (name in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth + 1 :])):
                 del stack[depth:]
             continue
         if name in BLOCKS:
             flush()
-            tags.append(name)
             while stack and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or stack[-1][0] == name and name in CLOSED_BY_BLOCK):
                 stack.pop()
             if name in ("article", "main", "body", "footer"):
@@ -113,11 +137,19 @@ def read_blocks(page: str) -> list[Block]:
                     stack.pop()
         elif name == "br":
             pieces.append(" ")
+        _, level, content, inside = stack[-1] if stack else ("", 0, False, False)
         if name not in VOID and not (m[4] or m[7] or "").rstrip().endswith("/"):
-            above = stack[-1] if stack else ("", False, False)
-            stack.append((name, above[1] or _left_out(name, m[4] or m[7] or ""), above[2] or name in ("article", "main")))
+            own = _left_out(name, m[4] or m[7] or "")
+            inside = inside or level == 1 and name in ("article", "main")
+            level = 2 if own and inside else max(level, own)
+            stack.append((name, level, content or name in ("article", "main"), inside))
+        if name in BLOCKS:
+            tags[level > 0].append(name)
     add(page[last:])
     flush()
+    if not any(b.content and not b.skipped for b in out):
+        for b in inside_layout:
+            b.skipped = False
     return out
 
 
@@ -129,13 +161,9 @@ class Weights:
         total_in, total_out = sum(inside.values()) + 1.0, sum(outside.values()) + 1.0
         self.weight = {f: max(-4.0, min(4.0, math.log((inside[f] + 0.5) / total_in) - math.log((outside[f] + 0.5) / total_out))) for f in inside.keys() | outside.keys()}
 
-    def block(self, b: Block, marked: bool) -> float:
-        """The words' score less the tags' cost; a page that marks its content is taken at its word."""
+    def block(self, b: Block) -> float:
+        """The words' score less the tags' cost."""
         tags = sum(min(0.0, self.weight.get("tag:" + t, -0.2)) for t in b.tags)
-        if b.skipped:
-            return tags - b.words
-        if marked:
-            return b.words + 1.0 if b.content else tags - b.words
         word = self.weight.get("word:" + b.feature, -0.5 if b.feature.endswith(":linked") else 0.5)
         return tags + b.words * max(-1.0, min(1.0, word))
 
@@ -155,18 +183,20 @@ def features(page: str) -> tuple[Counter[str], Counter[str]]:
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """The blocks of the best contiguous region, the left-out ones excepted."""
-    blocks = read_blocks(page or "")
-    marked = any(b.content and not b.skipped for b in blocks)
+    """The blocks of the best contiguous region, the left-out ones excepted; a page that marks its content is taken at its word."""
+    blocks = [b for b in read_blocks(page or "") if not b.skipped]
+    content = [b for b in blocks if b.content]
+    if content:
+        return "\n".join(b.text for b in content)
     best, span, run, start = 0.0, (0, 0), 0.0, 0
     for i, b in enumerate(blocks):
-        score = weights.block(b, marked)
+        score = weights.block(b)
         if run <= 0:
             run, start = 0.0, i
         run += score
         if run > best:
             best, span = run, (start, i + 1)
-    return "\n".join(b.text for b in blocks[span[0] : span[1]] if not b.skipped and (b.content or not marked))
+    return "\n".join(b.text for b in blocks[span[0] : span[1]])
 
 
 def learn_weights(pages: DataFrame, *, html_col: str = "html", sample: int = SAMPLE) -> Weights:

@@ -210,6 +210,26 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert html_text.main_text(PAGE.replace("{body}", f"<article>{content}"), weights).startswith(want)
 
 
+@pytest.mark.parametrize("inset", ["<aside>{}</aside>", '<div class="ad-box"><p>{}</p></div>', "<form>{}</form>", '<section class="comments"><article>{}</article></section>'])
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<div>{}</div>"])
+@pytest.mark.parametrize(("before", "after"), [(30, 200), (200, 20)])
+def test_insets_do_not_cut_articles(inset, outer, before, after):
+    parts = [f"<p>{'lead ' * before}</p>", inset.format("inset " * 300), f"<p>{'rest ' * after}</p>"]
+    got = html_text.main_text(PAGE.replace("{body}", outer.format("".join(parts))), html_text.Weights()).split()
+    assert [w for w in got if w in ("lead", "rest", "inset")] == ["lead"] * before + ["rest"] * after
+
+
+def test_text_between_marked_parts_does_not_cut_them():
+    page = f"<main><p>{'lead ' * 30}</p></main><div>{'between ' * 300}</div><main><p>{'rest ' * 40}</p></main>"
+    assert html_text.main_text(page, html_text.Weights()).split() == ["lead"] * 30 + ["rest"] * 40
+
+
+@pytest.mark.parametrize("wrapper", ["content no-sidebar", "has-header", "main-and-sidebar", "sidebar", "header-wrapper"])
+def test_wrappers_do_not_hide_articles(wrapper):
+    page = PAGE.replace("{body}", f'<div class="{wrapper}"><article><p>one two three</p><div class="share-buttons">Tweet this</div></article></div><section class="comments"><article>I disagree</article></section>')
+    assert html_text.main_text(page, html_text.Weights()) == "one two three"
+
+
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<script>only()</script>", "<nav>menu words only</nav>"])
 def test_pages_without_text(page):
     assert html_text.main_text(page, html_text.Weights()) == ""
