@@ -4,7 +4,8 @@ Every language has a multinomial over (hashed) letter trigrams, learnt from labe
 Each word of a document has a likelihood under each language, the product over the trigrams
 centred on its letters. Expectation-maximisation estimates the document's language proportions
 from the words' likelihoods; the language set is the one with the best penalised likelihood
-(half a log of the number of words for each language).
+(half a log of the number of words for each language) among those met while languages are taken
+away one by one from all that hold a word, the least missed first; a set may be of any size.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; language names
 tie in the order of their names; rows without a language are never learnt from; a table without
@@ -97,27 +98,32 @@ class MixtureModel:
         n = sizes[own]
         starts = np.concatenate(([0], np.cumsum(n)[:-1]))
         full = self._em(p, n, starts, np.ones((len(own), len(self.names)), dtype=bool))
-        order = np.argsort(-full, axis=1, kind="stable")
-        best, shares = None, None
-        for k in range(1, min(3, len(self.names)) + 1):
-            live = np.arange(len(own)) if k == 1 else np.flatnonzero(np.take_along_axis(full, order[:, k - 1 : k], 1)[:, 0] > 0.005)
-            if not len(live):
-                break
-            allowed = np.zeros((len(live), len(self.names)), dtype=bool)
-            np.put_along_axis(allowed, order[live, :k], True, axis=1)
-            rows = np.concatenate([np.arange(starts[i], starts[i] + n[i]) for i in live]) if len(live) < len(own) else slice(None)
-            q, m = p[rows], n[live]
+        first = full.argmax(axis=1)
+        shares = np.zeros(full.shape)
+        shares[np.arange(len(own)), first] = 1.0
+        best = np.add.reduceat(np.log(p[np.arange(len(p)), np.repeat(first, n)] + 1e-30), starts) - 0.5 * np.log(n + 1.0)
+        # all languages that hold a word, then ever fewer: the one goes without which the likelihood falls least
+        allowed = full * n[:, None] > 0.5
+        live = np.flatnonzero(allowed.sum(axis=1) > 1)
+        while len(live):
+            rows = np.concatenate([np.arange(starts[i], starts[i] + n[i]) for i in live])
+            q, m, some = p[rows], n[live], allowed[live]
             s = np.concatenate(([0], np.cumsum(m)[:-1]))
-            pi = allowed.astype(np.float32) if k == 1 else self._em(q, m, s, allowed)
-            fit = np.add.reduceat(np.log((q * np.repeat(pi, m, axis=0)).sum(axis=1) + 1e-30), s) - 0.5 * k * np.log(m + 1.0)
-            if k == 1:
-                best, shares = fit.astype(np.float64), pi.astype(np.float64)
-            else:
-                better = fit > best[live]
-                best[live[better]] = fit[better]
-                shares[live[better]] = pi[better]
+            pi = self._em(q, m, s, some)
+            parts = q * np.repeat(pi.astype(np.float32), m, axis=0)
+            whole = parts.sum(axis=1)
+            k = some.sum(axis=1)
+            fit = np.add.reduceat(np.log(whole + 1e-30), s) - 0.5 * k * np.log(m + 1.0)
+            better = fit > best[live]
+            best[live[better]] = fit[better]
+            shares[live[better]] = pi[better]
+            without = np.log((whole[:, None] - parts).clip(0) + 1e-30)
+            rest = np.add.reduceat(without, s, axis=0) - m[:, None] * np.log((1 - pi).clip(1e-6))
+            out_of = np.where(some, rest, -np.inf).argmax(axis=1)
+            allowed[live, out_of] = False
+            live = live[k > 2]
         for j, i in enumerate(own):
-            top = int(order[j, 0]) if shares[j, order[j, 0]] >= shares[j].max() else int(shares[j].argmax())
+            top = int(first[j]) if shares[j, first[j]] >= shares[j].max() else int(shares[j].argmax())
             out[i] = (self.names[top], float(min(1.0, max(0.0, full[j, top]))), {self.names[x]: float(shares[j, x]) for x in np.flatnonzero(shares[j] > 0)})
         return out
 

@@ -94,6 +94,27 @@ def test_language_mixtures_and_rejection(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 
+
+def many_languages(k, n, seed=0):
+    """``n`` texts of each of ``k`` made-up languages with syllables of their own."""
+    rng = random.Random(seed)
+    rows = []
+    for j in range(k):
+        own = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(3)) for _ in range(6)]
+        rows += [(1000 * j + i, " ".join("".join(rng.choice(own) for _ in range(rng.randint(1, 3))) for _ in range(40)), f"l{j}") for i in range(n)]
+    return rows
+
+
+def test_language_sets_of_any_size(docs):
+    rows = many_languages(8, 30)
+    model = language.learn(docs(rows))
+    texts = {lang: t for _, t, lang in rows}
+    for k in (1, 2, 4, 6, 8):
+        ((_, share, chosen),) = model.fit([" ".join(list(texts.values())[:k])])
+        assert set(chosen) == {f"l{j}" for j in range(k)}
+        assert all(abs(x - 1 / k) < 0.05 for x in chosen.values()) and abs(share - 1 / k) < 0.05
+
+
 def test_language_blocks_do_not_split_words(monkeypatch):
     text = "über die schöne Welt " * 30
     whole = [language.letters(text)]
