@@ -19,6 +19,8 @@ prediction is one pass without a shuffle.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,30 +67,54 @@ def blocks(text: str):
 
 
 class MixtureModel:
-    """log_p: trigram slot x language."""
+    """log_p: trigram slot x language; log_letter: log shares of letters (and 0) in all languages together.
+
+    The background, against which ``fit`` weighs its mixtures, draws a trigram's letters by their
+    shares or, as often, any trigram slot.
+    """
 
-    def __init__(self, names: list[str], counts: np.ndarray, alpha: float = 0.1):
+    def __init__(self, names: list[str], counts: np.ndarray, alpha: float = 0.1, letter_counts: np.ndarray | None = None):
+        known = np.zeros(0x10000) if letter_counts is None else letter_counts
+        self.log_letter = np.log((known + 0.5) / (known.sum() + 0.5 * len(known))).astype(np.float32)
         self.names = names
         total = counts.sum(axis=0, keepdims=True)
         self.log_p = (np.log(counts + alpha) - np.log(total + alpha * counts.shape[0])).astype(np.float32)
 
-    def word_scores(self, text: str) -> np.ndarray:
-        """Log likelihood of each word (row) under each language, less the row's maximum."""
-        parts = []
+    def word_scores(self, text: str, lead: list | None = None) -> np.ndarray:
+        """Log likelihood of each word (row) under each language, less the row's maximum.
+
+        ``lead``, if given, receives the sum of the maxima less the text's log likelihood under the
+        background, and the number of letters.
+        """
+        parts, background, n_letters = [], 0.0, 0
         for block in blocks(text):
-            slots, starts = trigrams(letters(block))
+            points = letters(block)
+            slots, starts = trigrams(points)
             if len(starts):
                 parts.append(np.add.reduceat(self.log_p[slots], starts, axis=0))
-        if not parts:
-            return np.zeros((0, len(self.names)), dtype=np.float32)
-        scores = np.concatenate(parts)
-        return scores - scores.max(axis=1, keepdims=True)
-
-    def fit(self, texts: list[str]) -> list[tuple[str, float, dict[str, float]]]:
-        """(language, its share, shares of the chosen set) of each text, worked out together."""
+                if lead is not None:
+                    at = np.flatnonzero(points[1:-1]) + 1
+                    log_letter = self.log_letter[np.minimum(points, 0xFFFF)]
+                    background += float(np.logaddexp(log_letter[at - 1] + log_letter[at] + log_letter[at + 1], -BITS * math.log(2)).sum(dtype=np.float64)) - len(at) * math.log(2)
+                    n_letters += len(at)
+        scores = np.concatenate(parts) if parts else np.zeros((0, len(self.names)), dtype=np.float32)
+        top = scores.max(axis=1, keepdims=True)
+        if lead is not None:
+            lead.append((float(top.sum(dtype=np.float64)) - background, n_letters))
+        return scores - top
+
+    def fit(self, texts: list[str], evidence: list | None = None) -> list[tuple[str, float, dict[str, float]]]:
+        """(language, its share, shares of the chosen set) of each text, worked out together.
+
+        ``evidence``, if given, receives of each text the log likelihood ratio of the chosen mixture
+        to the background, per letter; minus infinity without a language or letter.
+        """
+        if evidence is not None:
+            evidence[:] = [-math.inf] * len(texts)
         if not self.names:
             return [("und", 0.0, {})] * len(texts)
-        scores = [self.word_scores(t) for t in texts]
+        lead: list | None = None if evidence is None else []
+        scores = [self.word_scores(t, lead) for t in texts]
         sizes = np.array([len(s) for s in scores])
         out: list = [("und", 0.0, {})] * len(texts)
         own = np.flatnonzero(sizes)
@@ -101,7 +127,8 @@ class MixtureModel:
         first = full.argmax(axis=1)
         shares = np.zeros(full.shape)
         shares[np.arange(len(own)), first] = 1.0
-        best = np.add.reduceat(np.log(p[np.arange(len(p)), np.repeat(first, n)] + 1e-30), starts) - 0.5 * np.log(n + 1.0)
+        like = np.add.reduceat(np.log(p[np.arange(len(p)), np.repeat(first, n)] + 1e-30), starts)
+        best = like - 0.5 * np.log(n + 1.0)
         # all languages that hold a word, then ever fewer: the one goes without which the likelihood falls least
         allowed = full * n[:, None] > 0.5
         live = np.flatnonzero(allowed.sum(axis=1) > 1)
@@ -113,9 +140,10 @@ class MixtureModel:
             parts = q * np.repeat(pi.astype(np.float32), m, axis=0)
             whole = parts.sum(axis=1)
             k = some.sum(axis=1)
-            fit = np.add.reduceat(np.log(whole + 1e-30), s) - 0.5 * k * np.log(m + 1.0)
+            own_like = np.add.reduceat(np.log(whole + 1e-30), s)
+            fit = own_like - 0.5 * k * np.log(m + 1.0)
             better = fit > best[live]
-            best[live[better]] = fit[better]
+            best[live[better]], like[live[better]] = fit[better], own_like[better]
             shares[live[better]] = pi[better]
             without = np.log((whole[:, None] - parts).clip(0) + 1e-30)
             rest = np.add.reduceat(without, s, axis=0) - m[:, None] * np.log((1 - pi).clip(1e-6))
@@ -125,6 +153,8 @@ class MixtureModel:
         for j, i in enumerate(own):
             top = int(first[j]) if shares[j, first[j]] >= shares[j].max() else int(shares[j].argmax())
             out[i] = (self.names[top], float(min(1.0, max(0.0, full[j, top]))), {self.names[x]: float(shares[j, x]) for x in np.flatnonzero(shares[j] > 0)})
+            if evidence is not None:
+                evidence[i] = float(lead[i][0] + like[j]) / lead[i][1]
         return out
 
     @staticmethod
@@ -154,19 +184,44 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     chosen = rows.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < share[F.col("_lang")] * 1_000_000)
 
     def count(batches):
-        total: dict[str, np.ndarray] = {}
+        total: dict[str | None, np.ndarray] = {}  # of letters under None
         for batch in batches:
             for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist(), strict=True):
                 own = total.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
                 for block in blocks(text):
-                    own += np.bincount(trigrams(letters(block))[0], minlength=1 << BITS)
+                    points = letters(block)
+                    own += np.bincount(trigrams(points)[0], minlength=1 << BITS)
+                    all_letters = total.setdefault(None, np.zeros(0x10000, dtype=np.int64))
+                    all_letters += np.bincount(np.minimum(points, 0xFFFF), minlength=0x10000)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "counts"])
 
-    counts = np.zeros((1 << BITS, len(names)))
+    counts, letter_counts = np.zeros((1 << BITS, len(names))), np.zeros(0x10000)
     for lang, vector in chosen.select("_text", "_lang").repartition(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        counts[:, names.index(lang)] += np.frombuffer(vector, dtype=np.int64)
-    return MixtureModel(names, counts)
+        own = letter_counts if lang is None else counts[:, names.index(lang)]
+        own += np.frombuffer(vector, dtype=np.int64)
+    return MixtureModel(names, counts, letter_counts=letter_counts)
+
+
+def clean_limit(docs: DataFrame, model: MixtureModel, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 3, held_out: int = 1, sample: int = SAMPLE) -> float:
+    """Half the evidence that 99 % of at most about ``sample`` labelled held-out documents pass; at least 0."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (crc_mod("_id", fold) == held_out))
+    share = min(1.0, sample / max(1, rows.count()))
+
+    def weigh(batches):
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            for part in _parts(texts):
+                evidence: list[float] = []
+                shared.value.fit(texts[part], evidence)
+                yield pa.RecordBatch.from_arrays([pa.array(evidence, pa.float64())], ["evidence"])
+
+    chosen = rows.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("_text")
+    found = [r.evidence for r in chosen.mapInArrow(weigh, "evidence double").collect() if r.evidence > -math.inf]
+    return max(0.0, 0.5 * float(np.quantile(found, 0.01))) if found else 0.0
 
 
 def identify(docs: DataFrame, model: MixtureModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,18 +254,24 @@ def _parts(texts: list[str], most: int = 1_000_000):
         yield slice(at, len(texts))
 
 
-def keep_identified(docs: DataFrame, model: MixtureModel, *, text_col: str = "text", least: float = 0.2) -> DataFrame:
-    """The documents, all columns, in which a language holds a share of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: MixtureModel, *, text_col: str = "text", limit: float = 0.0) -> DataFrame:
+    """The documents, all columns, in learnt languages: whose mixture beats the background by more than ``limit`` a letter.
+
+    How even a mixture is and how many languages are learnt play no part.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        fitted = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            keep = [lang != "und" and score >= least for part in _parts(texts) for lang, score, _ in fitted.fit(texts[part])]
+            keep: list[bool] = []
+            for part in _parts(texts):
+                evidence: list[float] = []
+                shared.value.fit(texts[part], evidence)
+                keep += [x > limit for x in evidence]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

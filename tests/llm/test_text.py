@@ -115,6 +115,21 @@ def test_language_sets_of_any_size(docs):
         assert all(abs(x - 1 / k) < 0.05 for x in chosen.values()) and abs(share - 1 / k) < 0.05
 
 
+
+def test_only_learnt_languages_are_kept(docs):
+    rng = random.Random(5)
+    rows = many_languages(8, 60)
+    frame = docs([r for r in rows if r[2] != "l7"])
+    model = language.learn(frame)
+    limit = language.clean_limit(frame, model)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    mixed = " ".join(t for _, t, _ in rows[: 7 * 60 : 60])  # seven languages, a seventh each
+    cases = [(1, junk), (2, "Привет мир как дела сегодня"), (3, "".join(sorted(rows[0][1]))), (4, mixed), (5, "?!"), (6, None)]
+    unseen = [r for r in rows if r[2] == "l7"]
+    kept = language.keep_identified(docs([*cases, *((10_000 + r[0], r[1]) for r in rows)]), model, limit=limit)
+    assert sorted(r.doc_id for r in kept.collect()) == [4, *(10_000 + r[0] for r in rows if r not in unseen)]
+
+
 def test_language_blocks_do_not_split_words(monkeypatch):
     text = "über die schöne Welt " * 30
     whole = [language.letters(text)]
