@@ -37,7 +37,8 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, model=urls.HostModel(counted=urls.count_words(pages)))
 
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,27 @@ def test_segmentation_is_the_likeliest():
     assert model.segmenter.split("") == []
 
 
+#: Hosts that no example holds: bad words beside names, and clean ones, names foremost.
+HELD_BAD = "viagra-kowalski pokerlindqvist porn-hub pornmaria xxx-okafor pillsbergmann wareznagy phishing-tanaka malware-oduya escortbianca gambling-petrov casinoradek poker-stars lotto-halvorsen viagra.ruizlab red-hentai fetish-marlow jackpotvikram torrent-zubair big-blackjack kowalski.porn-site my.casino-lindqvist sexcamskarl freeslotsnagy buycialistanaka"
+HELD_CLEAN = "kowalski lindqvist ruizlab rosenbergclub winterthur windsor kensington okafor-kiln bergmannpiano oduya tanakapottery halvorsen marlow vikram-chai zubair-loom betsyross dorset-abbey wessexden sextant-chandlery bassethounds getty-villa hotspur lottelenya spinoza pillsbury cranbrook adlai radstock headlands addisonquilts petrov-choir brettonwoods winslow-homer slovenia-caves transextremadura"
+
+
+def test_held_out_hosts():
+    for counted in (None, {"the": 500, "kowalski": 3, "pot": 20, "ther": 90}):
+        model = urls.HostModel(counted=counted)
+        bad = [h for h in HELD_BAD.split() if model.score(f"{h}.com", "/a/7.html") <= 0]
+        clean = [h for h in HELD_CLEAN.split() if model.score(f"{h}.com", "/a/7.html") > 0]
+        assert len(bad) <= 1 and len(clean) <= 4, (bad, clean)  # most clean ones are traps: parts of theirs are bad words
+
+
+def test_counted_words_split_labels(spark):
+    rows = [(i, f"http://cheap-zork{'ab'[i % 2]}.com/", "<p>Winterberg winterberg</p><script>hidden hidden</script>") for i in range(4)]
+    counted = urls.count_words(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert counted == {"winterberg": 8, "cheap": 4, "zorka": 2, "zorkb": 2}
+    model = urls.HostModel(counted=counted)
+    assert model.segmenter.split("freewinterberg") == ["free", "winterberg"] != urls.HostModel().segmenter.split("freewinterberg")
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/x">Home</a></li></ul></nav><div class="cookie-notice">We use cookies a lot here</div>{body}
 <aside>Side words here</aside><form><label>Mail</label><input></form><footer>&copy; foot</footer></body></html>"""
