@@ -64,6 +64,11 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
+def text_key(col: str):
+    """A 64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("")))
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -7,21 +7,26 @@ can win nothing, so documents of some length stop after a step or two; here the
 all elements of a batch at once, and a document leaves when no slot of it is empty.
 
 Documents with equal sets are one class. Signatures are cut into bands; classes that agree in a
-band share a bucket. A bucket's pairs are never enumerated: first every member is held against the
-bucket's least member, on full sets; where buckets still join several components, the members
-outside the least member's component are held against the bucket by their signatures, and pairs
-above a safe estimate on full sets, tile by tile, the most alike first and only while they still
-lie in different components; a tile returns the links that join something, never pairs. Union-find
-over the confirmed links gives the components.
+band share a bucket. A bucket's pairs are never enumerated. First every member is held against its
+bucket's leader, drawn by a hash of member and bucket, so that the bands of a large group try
+different leaders. In buckets above a tile, the members that stay outside the bucket's largest
+component (strays) are held against further leaders of that component. A stray that still stays
+apart is bounded: shingles that no other member of a large bucket has are in no intersection, so
+the others tell with which set sizes 80 % can be reached at all; most strays reach none and are
+done. The rest, and the strays of small buckets, meet the members of reachable size tile by tile:
+signatures first, pairs above a safe estimate on full sets, the most alike first and only while
+they lie in different components; a tile returns the links that join something, never pairs.
+Union-find over the confirmed links gives the components.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing. Rows with the
 same id stand for themselves. A row without an id has no component and is kept; it lends none its
-id. Ties: the smallest id represents a component.
+id, and a set that only such rows have confirms no link. Ties: the smallest id represents a component.
 
 Scale: the signature table holds a few hundred bytes a document. Copies collapse before any
-pairing; buckets of one member never travel; hot buckets and hub documents meet only joins that
-Spark can split and tiles of bounded size. Full sets are made anew from the texts, only of
-documents in candidate pairs, which a bloom filter of at most 16 MB picks.
+pairing; buckets of one member never travel. The work on a bucket grows with its members, but for
+strays of reachable size, whose pairs with members cost a comparison of signatures each. Full sets
+are made anew from the texts, only of documents in candidate pairs or large buckets, which a bloom
+filter of at most 16 MB picks (a join does where there are too many for it).
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, sorted_groups, staged, text_bytes
+from .common import id_text, small_batches, sorted_groups, staged, text_bytes, text_key
 from .components import connected_components
 from .words import WordHashes, mix64, shingle_hashes, space_words
 
@@ -39,6 +44,11 @@ WIDTH, BANDS, ROWS = 4, 24, 5
 #: Signature agreement below which no pair of 80 % similarity falls (over five standard deviations).
 SAFE_MARGIN = 0.2
 TILE = 512
+BLOOM_BITS = 1 << 27
+#: Further leaders that the strays of a bucket above TILE are held against.
+LEADERS = 4
+#: Sets of sizes within one class differ by this factor at most.
+SIZE_STEP = 1.1
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = WordHashes()
@@ -107,7 +117,7 @@ def _by_permutation(signature: np.ndarray, base: np.ndarray, own: np.ndarray, sl
 
 
 def sketch(docs: DataFrame, *, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: _id, n_shingles, node (hash of the set; null if empty), bands, sig (16 bits a slot)."""
+    """Per document: _id, _key, n_shingles, node (hash of the set; null if empty), bands, sig (16 bits a slot)."""
     slots = bands * rows
 
     def run(batches):
@@ -129,34 +139,47 @@ def sketch(docs: DataFrame, *, width: int = WIDTH, bands: int = BANDS, rows: int
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id"),
+                    batch.column("_key"),
                     pa.array(sizes),
                     pa.array(node, mask=empty),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel())),
                     pa.array([row.tobytes() for row in short], pa.binary()),
                 ],
-                ["_id", "n_shingles", "node", "bands", "sig"],
+                ["_id", "_key", "n_shingles", "node", "bands", "sig"],
             )
 
-    return docs.mapInArrow(run, "_id long, n_shingles long, node long, bands array<long>, sig binary")
+    return docs.withColumn("_key", text_key("_text")).mapInArrow(run, "_id long, _key long, n_shingles long, node long, bands array<long>, sig binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept. Options: width, percent, bands, rows."""
+    return near_duplicate_rows(docs, id_col=id_col, text_col=text_col, **options).drop("text_key")
+
+
+def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As ``near_duplicates``, with text_key (a hash of the text), which tells rows of one id apart."""
     small_batches(docs.sparkSession)
     texts = id_text(docs, id_col, text_col)
     sketches = staged(sketch(texts, width=width, bands=bands, rows=rows), "minhash-sketches")
-    nodes = staged(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-nodes")
+    nodes = staged(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = staged(members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
+    buckets = staged(members.groupBy("bucket").agg(_drawn(0).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
     placed = staged(members.join(buckets, "bucket"), "minhash-placed")
     estimate = percent / 100 - SAFE_MARGIN
 
-    stars = placed.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    pairs = staged(_alike(stars, nodes, estimate), "minhash-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    component = staged(connected_components(confirm(pairs, full_sets(ends, nodes, texts, width), percent)), "minhash-components")
-
-    tiles = Tiles(placed, nodes, component)
+    pairs = staged(_alike(_ordered(placed.select(F.col("leader").alias("a"), F.col("node").alias("b"))), nodes, estimate), "minhash-pairs")
+    hot = staged(placed.where(F.col("n") > TILE).select("node").distinct(), "minhash-hot")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot).distinct(), nodes, texts, width)
+    component = staged(connected_components(confirm(pairs, sets, percent)), "minhash-components")
+    reach = None
+    if not hot.isEmpty():
+        strays = _strays(placed.where(F.col("n") > TILE), component, LEADERS)
+        more = strays.where("stray").select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
+        component = _merged(component, confirm(staged(_alike(_ordered(more), nodes, estimate), "minhash-pairs"), sets, percent))
+        strays = _strays(placed.where(F.col("n") > TILE), component, 0).where("stray").select("node").distinct()
+        reach = staged(reachable(strays, shared_shingles(sets.join(hot, "node", "left_semi")), nodes, percent), "minhash-reach")
+
+    tiles = Tiles(placed, nodes, component, reach)
     near = staged(tiles.near(estimate), "minhash-near")
     if not near.isEmpty():
         sets = full_sets(near.select("node").distinct(), nodes, texts, width)
@@ -165,9 +188,69 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = staged(nodes.select("node", "least").join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "minhash-own")
     smallest = staged(own.groupBy("c").agg(F.min("least").alias("smallest")), "minhash-smallest")
     named = staged(own.join(smallest, "c").select("node", "smallest"), "minhash-named")
-    out = sketches.select("_id", "n_shingles", "node").join(named, "node", "left")
+    out = sketches.select("_id", "_key", "n_shingles", "node").join(named, "node", "left")
     named = F.when(F.col("_id").isNotNull(), F.coalesce("smallest", "_id"))
-    return out.select(F.col("_id").alias("doc_id"), "n_shingles", named.alias("component_id"), F.coalesce(F.col("_id") == named, F.lit(True)).alias("kept"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "n_shingles", named.alias("component_id"), F.coalesce(F.col("_id") == named, F.lit(True)).alias("kept"))
+
+
+def _drawn(seed: int):
+    """The member of a bucket that a hash draws: another one in every bucket and for every seed."""
+    return F.min_by("node", F.xxhash64("node", "bucket", F.lit(seed)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _strays(placed: DataFrame, component: DataFrame, leaders: int) -> DataFrame:
+    """Per bucket and member: n, node, c (component), stray (outside the bucket's largest component), leaders of that one."""
+    comp = staged(placed.join(component, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("c")), "minhash-comp")
+    held = comp.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("held"), F.array(*(_drawn(k + 1) for k in range(leaders))).cast("array<bigint>").alias("leaders"))
+    lead = staged(held.groupBy("bucket").agg(F.max_by(F.struct("c", "leaders"), F.struct("held", "c")).alias("lead")), "minhash-lead")
+    return staged(comp.join(lead, "bucket").select("bucket", "n", "node", "c", (F.col("c") != F.col("lead.c")).alias("stray"), F.col("lead.leaders").alias("leaders")), "minhash-strays")
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """Per node: shared, the number of its shingles that another of the sets holds.
+
+    Shingles travel packed, dealt by their hash; a part holds about two million.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0] // 8
+    parts = max(8, -(-total // 2_000_000))
+
+    def deal(batches):
+        for batch in batches:
+            found = [np.frombuffer(s, dtype=np.uint64) for s in batch.column("set").to_pylist()]
+            if not found:
+                continue
+            node = np.repeat(batch.column("node").to_numpy(), [len(s) for s in found])
+            shingle = np.concatenate(found)
+            part = (mix64(shingle) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            node, shingle, part = node[order], shingle[order], part[order]
+            here, first = np.unique(part, return_index=True)
+            ends = [*first[1:].tolist(), len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(here), *(pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()) for x in (node, shingle))], ["part", "nodes", "shingles"])
+
+    def count(batches):
+        for _, group in sorted_groups(batches, 1):
+            node, shingle = (np.frombuffer(b"".join(group.column(k).to_pylist()), dtype=t) for k, t in (("nodes", np.int64), ("shingles", np.uint64)))
+            _, which, times = np.unique(shingle, return_inverse=True, return_counts=True)
+            names, at = np.unique(node, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, weights=times[which] > 1).astype(np.int64))], ["node", "shared"])
+
+    dealt = sets.mapInArrow(deal, "part long, nodes binary, shingles binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def reachable(strays: DataFrame, shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Per stray: least and most, the set sizes with which a link is possible (most < least: with none).
+
+    Of sizes n and m and an intersection of s at most: 100 s >= percent (n + m - s).
+    """
+    n, s = F.col("size"), F.coalesce(F.col("shared"), F.lit(0))
+    most = F.least(F.floor(n * 100 / percent), F.floor(s * (100 + percent) / percent) - n)
+    return strays.join(nodes.select("node", "size"), "node").join(shared, "node", "left").select("node", F.ceil(n * percent / 100).alias("least"), most.alias("most"))
 
 
 def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,26 +277,39 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 class Tiles:
     """The buckets that join several components, cut into tiles of about TILE strays by TILE members.
 
-    Strays are members outside their bucket's leading component; only they are held against the
-    bucket. Two members meet in the first bucket they share. ``near`` finds by signatures who may
-    have a link across components; ``links`` confirms such pairs on full sets, the most alike first,
-    those that are joined already left out, and returns the links that join something: no more
-    than a tile has rows.
+    Strays are members outside their bucket's largest component; only they are held against the
+    bucket, in buckets above TILE only those with a ``reach`` (node, least, most), and there against
+    members of those sizes. Two members meet in the first bucket they share. ``near`` finds by
+    signatures who may have a link across components; ``links`` confirms such pairs on full sets,
+    the most alike first, those that are joined already left out, and returns the links that join
+    something: no more than a tile has rows.
     """
 
     COLUMNS = ("bucket", "x", "y", "side", "node")
 
-    def __init__(self, placed: DataFrame, nodes: DataFrame, component: DataFrame):
-        comp = staged(placed.where("n > 2").join(component, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("c")), "minhash-comp")
-        lead = comp.where("node = leader").select("bucket", F.col("c").alias("lead"))
-        strays = staged(comp.join(lead, "bucket").withColumn("stray", F.col("c") != F.col("lead")), "minhash-strays")
-        sizes = strays.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("long")).alias("r")).where("r > 0")
-        sizes = staged(sizes.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("n_tiles"), F.ceil(F.col("r") / TILE).cast("int").alias("r_tiles")), "minhash-tiles")
-        rows = strays.join(sizes, "bucket")
+    def __init__(self, placed: DataFrame, nodes: DataFrame, component: DataFrame, reach: DataFrame | None):
+        rows = _strays(placed.where("n > 2"), component, 0).drop("leaders")
+        size_class = lambda size: F.floor(F.log(SIZE_STEP, F.greatest(size, F.lit(1)))).cast("int")
+        cold = rows.where(F.col("n") <= TILE).withColumn("k", F.lit(0))
+        strays = cold.where("stray")
+        if reach is not None:
+            warm = rows.where(F.col("n") > TILE)
+            own = warm.join(nodes.select("node", "size"), "node").withColumn("k", size_class(F.col("size"))).drop("size")
+            far = warm.where("stray").join(reach.where("most >= least"), "node")
+            far = far.withColumn("k", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))).drop("least", "most")
+            rows, strays = cold.unionByName(own), strays.unionByName(far)
+        else:
+            rows = cold
+        strays = staged(strays, "minhash-far")
+        n = staged(rows.groupBy("bucket", "k").agg(F.count(F.lit(1)).alias("n")), "minhash-tiles")
+        r = strays.groupBy("bucket", "k").agg(F.count(F.lit(1)).alias("r"))
+        sizes = staged(n.join(r, ["bucket", "k"]).select("bucket", "k", F.ceil(F.col("n") / TILE).cast("int").alias("n_tiles"), F.ceil(F.col("r") / TILE).cast("int").alias("r_tiles")), "minhash-tiles")
         tile = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        all_ = rows.withColumn("y", tile("n_tiles", 1)).withColumn("x", every("r_tiles")).withColumn("side", F.lit(1)).select(*self.COLUMNS, "c")
-        some = rows.where("stray").withColumn("x", tile("r_tiles", 2)).withColumn("y", every("n_tiles")).withColumn("side", F.lit(0)).select(*self.COLUMNS, "c")
+        of_class = lambda x: (F.col("k").cast("long") * (1 << 32) + F.col(x)).alias(x)
+        out = ("bucket", of_class("x"), of_class("y"), "side", "node", "c")
+        all_ = rows.drop("n").join(sizes, ["bucket", "k"]).withColumn("y", tile("n_tiles", 1)).withColumn("x", every("r_tiles")).withColumn("side", F.lit(1)).select(*out)
+        some = strays.drop("n").join(sizes, ["bucket", "k"]).withColumn("x", tile("r_tiles", 2)).withColumn("y", every("n_tiles")).withColumn("side", F.lit(0)).select(*out)
         self.rows, self.nodes = all_.unionByName(some), nodes
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
@@ -231,11 +327,11 @@ class Tiles:
                     keep[hit] = True
                 if keep.any():
                     n = int(keep.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()), pa.array(side[keep]), pa.array(node[keep]), pa.array(c[keep])], [*self_columns, "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array([x] * n, pa.int64()), pa.array([y] * n, pa.int64()), pa.array(side[keep]), pa.array(node[keep]), pa.array(c[keep])], [*self_columns, "c"])
 
         self_columns = self.COLUMNS
         signed = self.rows.join(self.nodes.select("node", "bands", "sig"), "node").select(*self.COLUMNS, "c", "bands", "sig")
-        return self._dealt(signed).mapInArrow(run, "bucket long, x int, y int, side int, node long, c long")
+        return self._dealt(signed).mapInArrow(run, "bucket long, x long, y long, side int, node long, c long")
 
     def links(self, near: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
         """(a, b): confirmed links between members of different components, a spanning forest of each tile's."""
@@ -284,7 +380,7 @@ def _partners(group: pa.Table, bucket: int, side: np.ndarray, node: np.ndarray,
             yield i, hit[first], share[first]
 
 
-def bloom(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+def bloom(ids: DataFrame, most_bits: int = BLOOM_BITS) -> np.ndarray:
     """Bit table (bool bytes packed) of a one-column id frame; its size follows the ids up to 16 MB."""
     n = ids.count()
     bits = min(most_bits, 1 << max(13, int(np.ceil(np.log2(max(1, 16 * n))))))
@@ -312,6 +408,8 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int)
     wanted = wanted.join(nodes.select("node", "least"), "node").where("least IS NOT NULL")
     wanted = staged(wanted, "minhash-wanted")
     spark = texts.sparkSession
+    if wanted.count() > BLOOM_BITS >> 4:
+        texts = texts.join(wanted.select(F.col("least").alias("_id")), "_id", "left_semi")
     shared = spark.sparkContext.broadcast(bloom(wanted.select("least")))
 
     def run(batches):
@@ -352,8 +450,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, one of each near-duplicate component: the smallest id.
 
-    Rows without an id stay. Rows that repeat a kept id all stay where their component is theirs.
+    Rows without an id stay. Rows of one id are told apart by their texts: those stay whose component
+    is named after the id, so a unique text stays whatever else bears its id. Equal rows stay or go together.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = staged(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, **options)
+    gone = staged(found.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct(), "minhash-gone")
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (text_key(text_col) == gone["_gone_key"]), "left_anti")

@@ -169,3 +169,28 @@ def test_index_visits_cells_in_order_and_misses_no_link():
             found += 1
             missed += home[k] not in cells
     assert found > 300 and missed == 0
+
+
+def test_representatives_are_removed_by_row(docs):
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = minhash.keep_representatives(docs([(3, text), (7, text), (7, other), (None, text), (9, None)])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows if r.text) == [("3", text), ("7", other), ("None", text)]
+    assert len(rows) == 4
+
+
+@pytest.mark.parametrize("tile", [4, 16, 512])
+def test_a_large_group_with_members_apart(docs, monkeypatch, tile):
+    """Members apart from all others, members near another stray only, and sizes at the edge of reach."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    rng = random.Random(11)
+    base = [f"a{i}" for i in range(70)]
+    texts = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            t[rng.randrange(70)] = f"c{rng.randrange(8)}"
+        texts.append(" ".join(t[: rng.choice([70, 70, 62, 55])]))
+    sets = [shingles(t, 4) for t in texts]
+    want = closed(len(texts), [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets])
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert [found[i] for i in range(len(texts))] == want
