@@ -24,9 +24,11 @@ END = b"\xff"
 #: Printable ASCII and Latin letters whose case and normal form are plain.
 _ORDINARY = re.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017f]*")
 #: White space that the line-and-word cut does not know: runs, controls, and characters beyond ASCII.
-_UNEVEN = re.compile(rb"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_RUNS = (b"  ", b" \n", b"\n ", b"\n\n")
+_CONTROLS = bytes([*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20)])
+_UNEVEN = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_TAIL = ".,;:!?|"
+_TAIL = b".,;:!?|"
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -48,6 +50,34 @@ def merge_encode(symbols: list[bytes], ranks: dict[tuple[bytes, bytes], int]) ->
     return symbols
 
 
+def uneven(text: bytes) -> bool:
+    """Whether a text has white space other than single spaces and line ends between words."""
+    if any(run in text for run in _RUNS) or len(text.translate(None, _CONTROLS)) < len(text):
+        return True
+    return not text.isascii() and _UNEVEN.search(text) is not None
+
+
+class Chunks(dict):
+    """Chunk of text -> its packed ids, worked out when missing and remembered within a bound.
+
+    The bound counts entries; chunks above ``LONG`` bytes are not remembered, so it bounds bytes too.
+    """
+
+    LONG = 64
+
+    def __init__(self, work_out, bound: int):
+        super().__init__()
+        self.work_out, self.bound = work_out, bound
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.work_out(chunk)
+        if len(chunk) <= self.LONG:
+            if len(self) >= self.bound:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class CompiledBpe:
     """One tokenizer file; ``encode`` gives the library's ids (no special tokens added) as packed integers."""
 
@@ -81,6 +111,7 @@ class CompiledBpe:
         ranks |= {a + b: first + 1 + k for (a, b), k in self.merges.items() if a + b not in self.dropped}
         self.ranks = ranks
         self._core = tiktoken.Encoding("compiled", pat_str=r"(?s:.)+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._encode = self._core.encode_single_piece
         self._packed = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             if token in self.ids:
@@ -92,10 +123,9 @@ class CompiledBpe:
             self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         else:
             self.pattern = regex.compile(_BYTE_LEVEL)
-        self.bound = remembered
-        self._pieces: dict[bytes, bytes] = {}
-        self._words: dict[bytes, bytes] = {}
-        self._spaced: dict[bytes, bytes] = {}
+        self.piece = Chunks(self._piece, remembered // 2).__getitem__
+        self.word = Chunks(self._chunk, remembered).__getitem__
+        self.spaced = Chunks(lambda w: self._chunk(b" " + w), remembered).__getitem__
 
     def _never_arising(self) -> frozenset[bytes]:
         """The tokens whose own text encodes to something else."""
@@ -112,16 +142,10 @@ class CompiledBpe:
     def piece_ranks(self, piece: bytes) -> list[int]:
         return self._core.encode_single_piece(piece)
 
-    def piece(self, piece: bytes) -> bytes:
+    def _piece(self, piece: bytes) -> bytes:
         """Packed ids of one pre-token (in UTF-8)."""
-        found = self._pieces.get(piece)
-        if found is None:
-            if len(self._pieces) >= self.bound // 2:
-                self._pieces.clear()
-            packed = self._packed
-            found = b"".join([packed[r] for r in self._core.encode_single_piece(piece + END if self.suffix else piece)])
-            self._pieces[piece] = found
-        return found
+        ranks = self._encode(piece + END if self.suffix else piece)
+        return self._packed[ranks[0]] if len(ranks) == 1 else b"".join(map(self._packed.__getitem__, ranks))
 
     def ordinary(self, text: str) -> bool:
         """Whether the fast way is right for a text without white space (but a leading space)."""
@@ -131,13 +155,16 @@ class CompiledBpe:
         """Pre-tokens of an ordinary text."""
         return [p.encode() for p in self.pattern.findall(text.lower() if self.word_like else text)]
 
-    def _chunk(self, text: str) -> bytes:
+    def _chunk(self, chunk: bytes) -> bytes:
         """Packed ids of a text without white space but a leading space."""
-        core = text.rstrip(_TAIL)
-        bare = core[1:] if core[:1] == " " else core
-        if bare.isalpha() and (bare.isascii() or _ORDINARY.fullmatch(bare)):
-            head = self.piece((core.lower() if self.word_like else core).encode())
-            return head + self.piece(text[len(core) :].encode()) if len(core) < len(text) else head
+        core = chunk.rstrip(_TAIL)
+        if core.isalpha() or core[:1] == b" " and core[1:].isalpha():  # ASCII letters
+            head = self._piece(core.lower() if self.word_like else core)
+            return head + self.piece(chunk[len(core) :]) if len(core) < len(chunk) else head
+        text, bare = chunk.decode(), core.decode().removeprefix(" ")
+        if bare.isalpha() and _ORDINARY.fullmatch(bare):
+            head = self._piece((core.decode().lower() if self.word_like else core.decode()).encode())
+            return head + self.piece(chunk[len(core) :]) if len(core) < len(chunk) else head
         if text in (" ", "\n") or self.ordinary(text):
             return b"".join(map(self.piece, self.pre_tokens(text)))
         return self.by_library(text)
@@ -145,27 +172,16 @@ class CompiledBpe:
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _look_up(self, known: dict[bytes, bytes], words: list[bytes], before: str = "") -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) >= self.bound:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._chunk(before + w.decode())
-            return b"".join(map(known.__getitem__, words))
-
     def encode(self, text: bytes) -> bytes:
         """Packed ids (little-endian, ``dtype``) of a UTF-8 text."""
         if self.word_like:
-            return self._look_up(self._words, text.split())
-        if _UNEVEN.search(text):
+            return b"".join(map(self.word, text.split()))
+        if uneven(text):
             return b"".join(self.by_library(part) for part in self._even(text.decode()))
         out = []
         for line in text.split(b"\n"):
             first, *rest = line.split(b" ")
-            out.append(self._look_up(self._words, [first]) + self._look_up(self._spaced, rest, " "))
+            out.append(self.word(first) + b"".join(map(self.spaced, rest)))
         return self.piece(b"\n").join(out)
 
     def _even(self, text: str) -> list[str]:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -26,7 +27,7 @@ def test_memory_of_pieces_is_bounded():
     bpe = CompiledBpe(public_path("word_bpe_49k.json"), frozenset(), remembered=5)
     for text in ("one two three four five six", "seven eight nine", "one two"):
         assert np.frombuffer(bpe.encode(text.encode()), dtype=bpe.dtype).tolist() == bpe.library.encode(text, add_special_tokens=False).ids
-    assert len(bpe._words) <= 11
+    assert len(bpe.word.__self__) <= 5
 
 
 @settings(max_examples=60, deadline=None)
@@ -121,3 +122,40 @@ def test_neighbours_are_those_of_bm25():
 
 def test_packing_an_empty_table(docs):
     assert packing.pack(docs([]), "byte_bpe_50k.json").count() == 0
+
+
+def test_bm25_over_all_terms_equals_brute_force():
+    rng = np.random.default_rng(4)
+    ids = [rng.zipf(1.5, rng.integers(1, 60)).clip(0, 79).astype(np.uint16) for _ in range(40)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=80)
+    mean = float(np.mean([len(x) for x in ids]))
+    index = packing.ShardIndex(ids, df, len(ids), mean, query_terms=None)
+    for seed in range(len(ids)):
+        index.used[:] = False
+        index.used[seed] = True
+        score = {}
+        for d, own in enumerate(ids):
+            for t in set(ids[seed].tolist()) & set(own.tolist()):
+                tf = int((own == t).sum())
+                weight = math.log(1 + (len(ids) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+                score[d] = score.get(d, 0.0) + weight
+        score.pop(seed, None)
+        found = index.neighbours(seed, 5)
+        want = sorted(score, key=lambda d: -score[d])[:5]
+        assert len(found) == len(want)
+        assert np.allclose([score[d] for d in found], [score[d] for d in want], rtol=1e-4)
+
+
+def test_packing_puts_like_documents_together_and_spreads_repeated_rows(docs):
+    rng = random.Random(3)
+    topics = [[f"{t}{w}{t}" for w in "abcdefghijkl"] for t in ("qua", "zor", "vex", "mib", "lud", "hop", "jaz", "kri")]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(30))) for i in range(160)]
+    found = packing.pack(docs(rows), "byte_bpe_50k.json", window=256, shard_tokens=4000).collect()
+    windows = {}
+    for r in found:
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id % 8)
+    assert np.mean([len(w) for w in windows.values()]) < 1.6
+    same = [(None, "one and the same text")] * 300
+    encoded = packing.staged(packing.encode_with_statistics(docs(same), "byte_bpe_50k.json", id_col="doc_id", text_col="text", end_id=1), "t").where("df IS NULL")
+    shards = packing.dealt(encoded, 1800, 100).groupBy("bucket", "piece", "part").count().collect()
+    assert len(shards) > 5 and max(r["count"] for r in shards) < 100
