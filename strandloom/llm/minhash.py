@@ -8,8 +8,8 @@ all elements of a batch at once, and a document leaves when no slot of it is emp
 
 Documents with equal sets are one class. Signatures are cut into bands; classes that agree in a
 band share a bucket. A bucket's pairs are never enumerated. First every member is held against its
-bucket's leader, drawn by a hash of member and bucket, so that the bands of a large group try
-different leaders. In buckets above a tile, the members that stay outside the bucket's largest
+bucket's leader; buckets draw theirs by one of some orders, so that the bands of a large group try
+several. In buckets above a tile, the members that stay outside the bucket's largest
 component (strays) are held against further leaders of that component. A stray that still stays
 apart is bounded: shingles that no other member of a large bucket has are in no intersection, so
 the others tell with which set sizes 80 % can be reached at all; most strays reach none and are
@@ -23,7 +23,8 @@ same id stand for themselves. A row without an id has no component and is kept;
 id, and a set that only such rows have confirms no link. Ties: the smallest id represents a component.
 
 Scale: the signature table holds a few hundred bytes a document. Copies collapse before any
-pairing; buckets of one member never travel. The work on a bucket grows with its members, but for
+pairing; buckets of one member never travel; each class carries its full set to one leader, the
+one its signature agrees with most. The work on a bucket grows with its members, but for
 strays of reachable size, whose pairs with members cost a comparison of signatures each. Full sets
 are made anew from the texts, only of documents in candidate pairs or large buckets, which a bloom
 filter of at most 16 MB picks (a join does where there are too many for it).
@@ -45,7 +46,7 @@ WIDTH, BANDS, ROWS = 4, 24, 5
 SAFE_MARGIN = 0.2
 TILE = 512
 BLOOM_BITS = 1 << 27
-#: Further leaders that the strays of a bucket above TILE are held against.
+#: Orders that draw buckets' leaders; leaders that the strays of a bucket above TILE are held against further.
 LEADERS = 4
 #: Sets of sizes within one class differ by this factor at most.
 SIZE_STEP = 1.1
@@ -163,11 +164,12 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: i
     sketches = staged(sketch(texts, width=width, bands=bands, rows=rows), "minhash-sketches")
     nodes = staged(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = staged(members.groupBy("bucket").agg(_drawn(0).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
+    buckets = staged(members.groupBy("bucket").agg(_drawn(F.pmod("bucket", F.lit(LEADERS))).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
     placed = staged(members.join(buckets, "bucket"), "minhash-placed")
     estimate = percent / 100 - SAFE_MARGIN
 
-    pairs = staged(_alike(_ordered(placed.select(F.col("leader").alias("a"), F.col("node").alias("b"))), nodes, estimate), "minhash-pairs")
+    led = lambda rows: _alike(rows.select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, estimate)
+    pairs = staged(led(placed.where("n = 2")).select("a", "b").union(_best(led(placed.where("n > 2")))).distinct(), "minhash-pairs")
     hot = staged(placed.where(F.col("n") > TILE).select("node").distinct(), "minhash-hot")
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot).distinct(), nodes, texts, width)
     component = staged(connected_components(confirm(pairs, sets, percent)), "minhash-components")
@@ -175,7 +177,7 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: i
     if not hot.isEmpty():
         strays = _strays(placed.where(F.col("n") > TILE), component, LEADERS)
         more = strays.where("stray").select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
-        component = _merged(component, confirm(staged(_alike(_ordered(more), nodes, estimate), "minhash-pairs"), sets, percent))
+        component = _merged(component, confirm(staged(_best(_alike(more, nodes, estimate)), "minhash-pairs"), sets, percent))
         strays = _strays(placed.where(F.col("n") > TILE), component, 0).where("stray").select("node").distinct()
         reach = staged(reachable(strays, shared_shingles(sets.join(hot, "node", "left_semi")), nodes, percent), "minhash-reach")
 
@@ -193,19 +195,20 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: i
     return out.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "n_shingles", named.alias("component_id"), F.coalesce(F.col("_id") == named, F.lit(True)).alias("kept"))
 
 
-def _drawn(seed: int):
-    """The member of a bucket that a hash draws: another one in every bucket and for every seed."""
-    return F.min_by("node", F.xxhash64("node", "bucket", F.lit(seed)))
+def _drawn(seed):
+    """The member of a bucket that comes first in the order of a seed's hash: buckets of one group and seed agree on few."""
+    return F.min_by("node", F.xxhash64("node", seed))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each b its pair with the most agreement. The others are not lost: where it does not link, the members of buckets of three and more meet in tiles."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
 
 
 def _strays(placed: DataFrame, component: DataFrame, leaders: int) -> DataFrame:
     """Per bucket and member: n, node, c (component), stray (outside the bucket's largest component), leaders of that one."""
     comp = staged(placed.join(component, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("c")), "minhash-comp")
-    held = comp.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("held"), F.array(*(_drawn(k + 1) for k in range(leaders))).cast("array<bigint>").alias("leaders"))
+    held = comp.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("held"), F.array(*(_drawn(F.lit(k)) for k in range(1, leaders + 1))).cast("array<bigint>").alias("leaders"))
     lead = staged(held.groupBy("bucket").agg(F.max_by(F.struct("c", "leaders"), F.struct("held", "c")).alias("lead")), "minhash-lead")
     return staged(comp.join(lead, "bucket").select("bucket", "n", "node", "c", (F.col("c") != F.col("lead.c")).alias("stray"), F.col("lead.leaders").alias("leaders")), "minhash-strays")
 
@@ -228,18 +231,22 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
             part = (mix64(shingle) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             node, shingle, part = node[order], shingle[order], part[order]
-            here, first = np.unique(part, return_index=True)
-            ends = [*first[1:].tolist(), len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(here), *(pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()) for x in (node, shingle))], ["part", "nodes", "shingles"])
+            run = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (node[1:] != node[:-1]))))
+            length = np.diff(np.append(run, len(part))).astype(np.uint32)
+            here, first = np.unique(part[run], return_index=True)
+            runs = [*first.tolist(), len(run)]
+            ends = [*run[first].tolist(), len(part)]
+            slices = [[x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] for x, at in ((node[run], runs), (length, runs), (shingle, ends))]
+            yield pa.RecordBatch.from_arrays([pa.array(here), *(pa.array(x, pa.binary()) for x in slices)], ["part", "nodes", "lengths", "shingles"])
 
     def count(batches):
         for _, group in sorted_groups(batches, 1):
-            node, shingle = (np.frombuffer(b"".join(group.column(k).to_pylist()), dtype=t) for k, t in (("nodes", np.int64), ("shingles", np.uint64)))
+            node, length, shingle = (np.frombuffer(b"".join(group.column(k).to_pylist()), dtype=t) for k, t in (("nodes", np.int64), ("lengths", np.uint32), ("shingles", np.uint64)))
             _, which, times = np.unique(shingle, return_inverse=True, return_counts=True)
             names, at = np.unique(node, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, weights=times[which] > 1).astype(np.int64))], ["node", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(np.repeat(at, length), weights=times[which] > 1).astype(np.int64))], ["node", "shared"])
 
-    dealt = sets.mapInArrow(deal, "part long, nodes binary, shingles binary").repartition("part").sortWithinPartitions("part")
+    dealt = sets.mapInArrow(deal, "part long, nodes binary, lengths binary, shingles binary").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
@@ -262,16 +269,17 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in a share of ``least`` or more slots."""
+    """(a, b, share) of the distinct pairs whose signatures agree in a share of ``least`` or more slots."""
     at_a, at_b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(f"sig_{x}").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for x in "ab")
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
+                share = (a == b).mean(axis=1)
+                yield batch.select(["a", "b"]).append_column("share", pa.array(share)).filter(pa.array(share >= least))
 
-    return pairs.join(at_b, "b").join(at_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.where("a <> b").distinct().join(at_b, "b").join(at_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, share double")
 
 
 class Tiles:
