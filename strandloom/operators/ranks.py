@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinals import global_row_number, quantile_range
+from .ordinals import quantile_range, running_total
 
 
 def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, value, n, avg_rank): ties share the mean of their ranks. Works on distinct values, so a long column folds first."""
     keys = keys or []
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
-    upto = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("avg_rank", (upto - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).cast("double"))
+    if keys:
+        counted = counted.withColumn("_upto", F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        counted = running_total(counted, value, "n", out="_upto")
+    return counted.withColumn("avg_rank", (F.col("_upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).cast("double")).drop("_upto")
 
 
 def tie_correction(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -47,27 +49,35 @@ def rank_sum_z_of_counts(counted: DataFrame, keys: list[str], group: str, first,
     return summed.select(*keys, u.alias("u"), z.alias("z"))
 
 
-def holm(df: DataFrame, p: str, order: str, *, parts: int = 16, out: str = "adjusted") -> DataFrame:
-    """Holm's step-down p-values over the whole frame: running maximum of p * (n - rank + 1), capped at 1."""
-    n = df.count()
-    ranked = global_row_number(df, p, [order], parts=parts, out="_rank").withColumn("_scaled", F.least(F.lit(1.0), F.col(p) * (F.lit(n) - F.col("_rank") + 1)))
-    return _running(ranked, p, order, parts, out, F.max, up=True)
+def holm(df: DataFrame, p: str, order: str | None = None, *, parts: int = 16, out: str = "adjusted") -> DataFrame:
+    """Holm's step-down p-values over the whole frame: running maximum of p * (n - rank + 1), capped at 1.
+
+    Equal values have equal results, those of the first of them, so ``order`` among them does not
+    matter and only distinct values are ranked. A null value stays null and does not count.
+    """
+    first = F.col("_upto") - F.col("_k") + 1
+    return _adjusted(df, p, parts, out, lambda n: F.col(p) * (F.lit(n) - first + 1), F.max, up=True)
+
 
+def benjamini_hochberg(df: DataFrame, p: str, order: str | None = None, *, parts: int = 16, out: str = "adjusted") -> DataFrame:
+    """Benjamini-Hochberg p-values over the whole frame: running minimum from the largest of p * n / rank, capped at 1.
 
-def benjamini_hochberg(df: DataFrame, p: str, order: str, *, parts: int = 16, out: str = "adjusted") -> DataFrame:
-    """Benjamini-Hochberg p-values over the whole frame: running minimum from the largest of p * n / rank, capped at 1."""
-    n = df.count()
-    ranked = global_row_number(df, p, [order], parts=parts, out="_rank").withColumn("_scaled", F.least(F.lit(1.0), F.col(p) * F.lit(n) / F.col("_rank")))
-    return _running(ranked, p, order, parts, out, F.min, up=False)
+    Equal values have the result of the last of them; nulls as in ``holm``.
+    """
+    return _adjusted(df, p, parts, out, lambda n: F.col(p) * F.lit(n) / F.col("_upto"), F.min, up=False)
 
 
-def _running(ranked: DataFrame, p: str, order: str, parts: int, out: str, extreme, *, up: bool) -> DataFrame:
-    """Running extreme of _scaled along the order (or against it), over ranges and then over the ranges' extremes."""
+def _adjusted(df: DataFrame, p: str, parts: int, out: str, scaled, extreme, *, up: bool) -> DataFrame:
+    """Running extreme of the scaled distinct values along their order (or against it), joined back to the rows."""
+    counted = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_k"))
+    n = counted.agg(F.coalesce(F.sum("_k"), F.lit(0))).first()[0]
+    ranked = running_total(counted, p, "_k", parts=parts, out="_upto").withColumn("_scaled", F.least(F.lit(1.0), scaled(n)))
     dealt = quantile_range(ranked, p, parts)
     whole = dealt.groupBy("_range").agg(extreme("_scaled").alias("_e"))
     order_of_ranges = Window.orderBy("_range" if up else F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     before = whole.select("_range", extreme("_e").over(order_of_ranges).alias("_b"))
-    local = Window.partitionBy("_range").orderBy("_rank" if up else F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_range").orderBy(p if up else F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     merge = F.greatest if up else F.least
     joined = dealt.withColumn("_l", extreme("_scaled").over(local)).join(F.broadcast(before), "_range")
-    return joined.withColumn(out, F.when(F.col("_b").isNull(), F.col("_l")).otherwise(merge("_l", "_b"))).drop("_range", "_rank", "_scaled", "_l", "_b")
+    values = joined.select(F.col(p).alias("_value"), F.when(F.col("_b").isNull(), F.col("_l")).otherwise(merge("_l", "_b")).alias(out))
+    return df.join(values, df[p] == values["_value"], "left").drop("_value")
