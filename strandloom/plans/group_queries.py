@@ -146,6 +146,23 @@ def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.benjamini_hochberg(_p_values(spark, sf_dir), "p", "c_custkey").select("c_custkey", F.round("adjusted", 12).alias("adjusted"))
 
 
+def _gappy_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh customer without a p value, most of the others with 1."""
+    p = F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).when(F.col("c_custkey") % 5 == 0, F.col("p")).otherwise(F.lit(1.0))
+    return _p_values(spark, sf_dir).withColumn("p", p)
+
+
+_GAPPY_SQL = f"(SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN p ELSE 1.0::DOUBLE END AS p FROM {_P_SQL})"
+
+
+def holm_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.holm(_gappy_p_values(spark, sf_dir), "p").select("c_custkey", F.round("adjusted", 12).alias("adjusted"))
+
+
+def bh_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.benjamini_hochberg(_gappy_p_values(spark, sf_dir), "p").select("c_custkey", F.round("adjusted", 12).alias("adjusted"))
+
+
 def fraction_logfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer")
     by = rows.groupBy("c_mktsegment").agg(F.avg((F.col("c_acctbal") > 0).cast("double")).alias("fraction"), F.sum(F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
@@ -174,7 +191,7 @@ def sample_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("per_million") < 50).cast("long")).alias("low"), F.sum((F.col("x") < 1000).cast("long")).alias("short"))
 
 
-QUERIES = {f.__name__: f for f in (keep_best_umi, keep_best_dedup, multimap_best, coordinate_vote, coordinate_vote_end, mode_first_seen, wobble_range, end_groups, chain_filter, usage_fraction, support_pivot, isoform_map, variant_support, coverage_set_groups, average_ranks, tie_correction, wilcoxon_rank_sum, holm_adjust, bh_adjust, fraction_logfc, top_k_per_group, dense_ordinals, global_row_numbers, sample_normalise)}
+QUERIES = {f.__name__: f for f in (keep_best_umi, keep_best_dedup, multimap_best, coordinate_vote, coordinate_vote_end, mode_first_seen, wobble_range, end_groups, chain_filter, usage_fraction, support_pivot, isoform_map, variant_support, coverage_set_groups, average_ranks, tie_correction, wilcoxon_rank_sum, holm_adjust, bh_adjust, holm_nulls, bh_ties, fraction_logfc, top_k_per_group, dense_ordinals, global_row_numbers, sample_normalise)}
 ORACLE_SQL = {
     "keep_best_umi": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1",
     "keep_best_dedup": "SELECT o_custkey, span, o_orderpriority, o_orderkey FROM (SELECT o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS span, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice) DESC, o_orderpriority, o_orderkey) AS k FROM orders) WHERE k = 1",
@@ -195,6 +212,8 @@ ORACLE_SQL = {
     "wilcoxon_rank_sum": _WILCOXON_SQL,
     "holm_adjust": f"WITH r AS (SELECT c_custkey, least(1.0::DOUBLE, p * (count(*) OVER () - row_number() OVER (ORDER BY p, c_custkey) + 1)) AS x, row_number() OVER (ORDER BY p, c_custkey) AS k FROM {_P_SQL}) SELECT c_custkey, round(max(x) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 12) AS adjusted FROM r",
     "bh_adjust": f"WITH r AS (SELECT c_custkey, least(1.0::DOUBLE, p * count(*) OVER () / row_number() OVER (ORDER BY p, c_custkey)) AS x, row_number() OVER (ORDER BY p, c_custkey) AS k FROM {_P_SQL}) SELECT c_custkey, round(min(x) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 12) AS adjusted FROM r",
+    "holm_nulls": f"WITH g AS (SELECT * FROM {_GAPPY_SQL}), r AS (SELECT c_custkey, p, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER () AS n FROM g WHERE p IS NOT NULL), a AS (SELECT c_custkey, max(least(1.0::DOUBLE, p * (n - k + 1))) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM r) SELECT g.c_custkey, round(x, 12) AS adjusted FROM g LEFT JOIN a USING (c_custkey)",
+    "bh_ties": f"WITH g AS (SELECT * FROM {_GAPPY_SQL}), r AS (SELECT c_custkey, p, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER () AS n FROM g WHERE p IS NOT NULL), a AS (SELECT c_custkey, min(least(1.0::DOUBLE, p * n / k)) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM r) SELECT g.c_custkey, round(x, 12) AS adjusted FROM g LEFT JOIN a USING (c_custkey)",
     "fraction_logfc": "SELECT c_mktsegment, round(avg(CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS fraction, round(log2((count(*) FILTER (c_custkey % 2 = 0) + 0.01::DOUBLE) / (count(*) FILTER (c_custkey % 2 <> 0) + 0.01::DOUBLE)), 9) AS log_ratio FROM customer GROUP BY 1",
     "top_k_per_group": "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3",
     "dense_ordinals": f"SELECT event_id, dense_rank() OVER (ORDER BY s) AS ordinal FROM {events_sql()}",
