@@ -48,8 +48,8 @@ TILE = 512
 BLOOM_BITS = 1 << 27
 #: Orders that draw buckets' leaders; leaders that the strays of a bucket above TILE are held against further.
 LEADERS = 4
-#: Sets of sizes within one class differ by this factor at most.
-SIZE_STEP = 1.1
+#: Sets of sizes within one class differ by this factor at most; a stray reaches two classes as a rule.
+SIZE_STEP = 2.0
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = WordHashes()
@@ -117,6 +117,15 @@ def _by_permutation(signature: np.ndarray, base: np.ndarray, own: np.ndarray, sl
             np.minimum.at(signature, o * slots + order[:, j], _offer(r, j))
 
 
+def band_keys(short: np.ndarray, bands: int) -> np.ndarray:
+    """The bands' keys (n x bands, int64) of short signatures."""
+    slots = short.astype(np.uint64).reshape(len(short), bands, -1)
+    keys = np.zeros((len(short), bands), dtype=np.uint64)
+    for r in range(slots.shape[2]):
+        keys = mix64(keys * np.uint64(0x100000001B3) + slots[:, :, r])
+    return mix64(keys + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
+
+
 def sketch(docs: DataFrame, *, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: _id, _key, n_shingles, node (hash of the set; null if empty), bands, sig (16 bits a slot)."""
     slots = bands * rows
@@ -131,11 +140,8 @@ def sketch(docs: DataFrame, *, width: int = WIDTH, bands: int = BANDS, rows: int
             bounds = np.concatenate(([0], np.cumsum(sizes)))
             total = np.concatenate(([np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)))
             node = mix64(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64)).view(np.int64)
-            keys = np.zeros((len(sets), bands), dtype=np.uint64)
-            for r in range(rows):
-                keys = mix64(keys * np.uint64(0x100000001B3) + signature.reshape(len(sets), bands, rows)[:, :, r])
-            keys = mix64(keys + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
             short = (mix64(signature) >> np.uint64(48)).astype(np.uint16)
+            keys = band_keys(short, bands)
             empty = sizes == 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,20 +174,23 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: i
     placed = staged(members.join(buckets, "bucket"), "minhash-placed")
     estimate = percent / 100 - SAFE_MARGIN
 
-    led = lambda rows: _alike(rows.select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, estimate)
-    pairs = staged(led(placed.where("n = 2")).select("a", "b").union(_best(led(placed.where("n > 2")))).distinct(), "minhash-pairs")
+    #: Only classes that share a bucket are ever compared; the others' signatures never travel again.
+    signed = staged(nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "size", "sig"), "minhash-signed")
+    led = placed.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg((F.min("n") == 2).alias("alone"))
+    led = staged(_alike(led, signed, estimate), "minhash-alike")
+    pairs = staged(led.where("alone").select("a", "b").union(_best(led.where("NOT alone"))), "minhash-pairs")
     hot = staged(placed.where(F.col("n") > TILE).select("node").distinct(), "minhash-hot")
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot).distinct(), nodes, texts, width)
     component = staged(connected_components(confirm(pairs, sets, percent)), "minhash-components")
     reach = None
     if not hot.isEmpty():
         strays = _strays(placed.where(F.col("n") > TILE), component, LEADERS)
-        more = strays.where("stray").select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
-        component = _merged(component, confirm(staged(_best(_alike(more, nodes, estimate)), "minhash-pairs"), sets, percent))
+        more = strays.where("stray").select(F.explode("leaders").alias("a"), F.col("node").alias("b")).distinct().withColumn("alone", F.lit(False))
+        component = _merged(component, confirm(staged(_best(_alike(more, signed, estimate)), "minhash-pairs"), sets, percent))
         strays = _strays(placed.where(F.col("n") > TILE), component, 0).where("stray").select("node").distinct()
-        reach = staged(reachable(strays, shared_shingles(sets.join(hot, "node", "left_semi")), nodes, percent), "minhash-reach")
+        reach = staged(reachable(strays, shared_shingles(sets.join(hot, "node", "left_semi")), signed, percent), "minhash-reach")
 
-    tiles = Tiles(placed, nodes, component, reach)
+    tiles = Tiles(placed, signed, component, reach, bands)
     near = staged(tiles.near(estimate), "minhash-near")
     if not near.isEmpty():
         sets = full_sets(near.select("node").distinct(), nodes, texts, width)
@@ -269,7 +278,7 @@ def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, share) of the distinct pairs whose signatures agree in a share of ``least`` or more slots."""
+    """(a, b, alone, share) of the pairs (a, b, alone) whose signatures agree in a share of ``least`` or more slots."""
     at_a, at_b = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
 
     def run(batches):
@@ -277,9 +286,9 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(f"sig_{x}").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for x in "ab")
                 share = (a == b).mean(axis=1)
-                yield batch.select(["a", "b"]).append_column("share", pa.array(share)).filter(pa.array(share >= least))
+                yield batch.select(["a", "b", "alone"]).append_column("share", pa.array(share)).filter(pa.array(share >= least))
 
-    return pairs.where("a <> b").distinct().join(at_b, "b").join(at_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, share double")
+    return pairs.where("a <> b").join(at_b, "b").join(at_a, "a").select("a", "b", "alone", "sig_a", "sig_b").mapInArrow(run, "a long, b long, alone boolean, share double")
 
 
 class Tiles:
@@ -295,7 +304,7 @@ class Tiles:
 
     COLUMNS = ("bucket", "x", "y", "side", "node")
 
-    def __init__(self, placed: DataFrame, nodes: DataFrame, component: DataFrame, reach: DataFrame | None):
+    def __init__(self, placed: DataFrame, nodes: DataFrame, component: DataFrame, reach: DataFrame | None, bands: int):
         rows = _strays(placed.where("n > 2"), component, 0).drop("leaders")
         size_class = lambda size: F.floor(F.log(SIZE_STEP, F.greatest(size, F.lit(1)))).cast("int")
         cold = rows.where(F.col("n") <= TILE).withColumn("k", F.lit(0))
@@ -318,7 +327,7 @@ class Tiles:
         out = ("bucket", of_class("x"), of_class("y"), "side", "node", "c")
         all_ = rows.drop("n").join(sizes, ["bucket", "k"]).withColumn("y", tile("n_tiles", 1)).withColumn("x", every("r_tiles")).withColumn("side", F.lit(1)).select(*out)
         some = strays.drop("n").join(sizes, ["bucket", "k"]).withColumn("x", tile("r_tiles", 2)).withColumn("y", every("n_tiles")).withColumn("side", F.lit(0)).select(*out)
-        self.rows, self.nodes = all_.unionByName(some), nodes
+        self.rows, self.nodes, self.bands = all_.unionByName(some), nodes, bands
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
@@ -330,15 +339,15 @@ class Tiles:
             for (bucket, x, y), group in sorted_groups(batches, 3):
                 side, node, c = (group.column(k).to_numpy() for k in ("side", "node", "c"))
                 keep = np.zeros(len(side), dtype=bool)
-                for i, hit, _ in _partners(group, bucket, side, node, c, least):
+                for i, hit, _ in _partners(group, bucket, n_bands, side, node, c, least):
                     keep[i] = True
                     keep[hit] = True
                 if keep.any():
                     n = int(keep.sum())
                     yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array([x] * n, pa.int64()), pa.array([y] * n, pa.int64()), pa.array(side[keep]), pa.array(node[keep]), pa.array(c[keep])], [*self_columns, "c"])
 
-        self_columns = self.COLUMNS
-        signed = self.rows.join(self.nodes.select("node", "bands", "sig"), "node").select(*self.COLUMNS, "c", "bands", "sig")
+        self_columns, n_bands = self.COLUMNS, self.bands
+        signed = self.rows.join(self.nodes.select("node", "sig"), "node").select(*self.COLUMNS, "c", "sig")
         return self._dealt(signed).mapInArrow(run, "bucket long, x long, y long, side int, node long, c long")
 
     def links(self, near: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
@@ -348,7 +357,7 @@ class Tiles:
             for (bucket, _, _), group in sorted_groups(batches, 3):
                 side, node, c = (group.column(k).to_numpy() for k in ("side", "node", "c"))
                 sets = [np.frombuffer(s, dtype=np.uint64) for s in group.column("set").to_pylist()]
-                pairs = [(-s, i, j) for i, hit, share in _partners(group, bucket, side, node, c, least) for j, s in zip(hit.tolist(), share.tolist(), strict=True)]
+                pairs = [(-s, i, j) for i, hit, share in _partners(group, bucket, n_bands, side, node, c, least) for j, s in zip(hit.tolist(), share.tolist(), strict=True)]
                 parent: dict[int, int] = {}
 
                 def find(v: int, parent=parent) -> int:
@@ -368,14 +377,15 @@ class Tiles:
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        signed = near.join(self.nodes.select("node", "bands", "sig"), "node").join(sets, "node").select(*self.COLUMNS, "c", "bands", "sig", "set")
+        n_bands = self.bands
+        signed = near.join(self.nodes.select("node", "sig"), "node").join(sets, "node").select(*self.COLUMNS, "c", "sig", "set")
         return self._dealt(signed).mapInArrow(run, "a long, b long")
 
 
-def _partners(group: pa.Table, bucket: int, side: np.ndarray, node: np.ndarray, c: np.ndarray, least: float):
+def _partners(group: pa.Table, bucket: int, n_bands: int, side: np.ndarray, node: np.ndarray, c: np.ndarray, least: float):
     """Of each stray of a tile: (its row, rows of partners of other components, their signatures' agreement)."""
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint16).reshape(len(side), -1)
-    bands = np.stack(group.column("bands").to_pylist())
+    bands = band_keys(sig, n_bands)
     at = (bands == bucket).argmax(axis=1)
     earlier = np.arange(bands.shape[1])[None, :] < at[:, None]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
