@@ -171,7 +171,8 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: i
     nodes = staged(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = staged(members.groupBy("bucket").agg(_drawn(F.pmod("bucket", F.lit(LEADERS))).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
-    placed = staged(members.join(buckets, "bucket"), "minhash-placed")
+    shared_bucket = held_by(buckets.select("bucket"))  # most buckets have one member, which need not travel to learn so
+    placed = staged(members.where(shared_bucket("bucket")).join(buckets, "bucket"), "minhash-placed")
     estimate = percent / 100 - SAFE_MARGIN
 
     #: Only classes that share a bucket are ever compared; the others' signatures never travel again.
@@ -421,6 +422,29 @@ def bloom_slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
 
 
+def bloom_holds(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be one of those a table was made of; an id that is one always is."""
+    keep = np.ones(len(ids), dtype=bool)
+    for slot in bloom_slots(ids, len(packed) * 8):
+        keep &= (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def held_by(ids: DataFrame):
+    """A condition on a long column without nulls: whether a one-column frame may hold it, never false where it does.
+
+    It thins what an exact join by the same column then shuffles. Its table has at most 16 MB;
+    beyond some eight million ids it lets more through, and the join alone decides as before.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(bloom(ids))
+
+    @F.arrow_udf("boolean")
+    def held(x: pa.Array) -> pa.Array:
+        return pa.array(bloom_holds(shared.value, x.to_numpy(zero_copy_only=False)))
+
+    return held
+
+
 def full_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(node, set) of the nodes, made from the text of the smallest id of each."""
     wanted = wanted.join(nodes.select("node", "least"), "node").where("least IS NOT NULL")
@@ -432,15 +456,11 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int)
 
     def run(batches):
         packed = shared.value
-        bits = len(packed) * 8
         for batch in batches:
             batch = batch.filter(batch.column("_id").is_valid())
             if not batch.num_rows:
                 continue
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for slot in bloom_slots(batch.column("_id").to_numpy(), bits):
-                keep &= (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(bloom_holds(packed, batch.column("_id").to_numpy())))
             sets = [shingle_set(t, width) for t in text_bytes(batch.column("_text"))]
             node = [int(mix64(np.array([mix64(s + _STEP).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0]) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
@@ -473,4 +493,8 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     found = near_duplicate_rows(docs, id_col=id_col, text_col=text_col, **options)
     gone = staged(found.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct(), "minhash-gone")
-    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (text_key(text_col) == gone["_gone_key"]), "left_anti")
+    # texts that surely stay are not shuffled for the join
+    row_id, row_text = docs[id_col].cast("long"), text_key(text_col)
+    maybe = held_by(gone.select(F.xxhash64("_gone", "_gone_key")))(F.xxhash64(row_id, row_text))
+    left = docs.where(maybe).join(gone, (row_id == gone["_gone"]) & (row_text == gone["_gone_key"]), "left_anti")
+    return docs.where(~maybe).unionByName(left)
