@@ -41,6 +41,11 @@ def without_novel_suffix(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)^(.*?)[_-][0-9]+", "$1")
 
 
+def joined_once(name: Column) -> Column:
+    """The name with its first ``;`` as an underscore."""
+    return F.regexp_replace(name, r"(?s)^([^;]*);", "$1_")
+
+
 def attribute(attributes: Column, key: str) -> Column:
     """A quoted attribute of a GTF column; null where it is missing."""
     value = F.regexp_extract(attributes, rf'(?:^|;)\s*{key}\s+"([^"]*)"', 1)

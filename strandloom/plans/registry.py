@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import group_queries, interval_queries, kernel_queries, scalar_queries
+from . import group_queries, interval_queries, kernel_queries, scalar_queries, selection_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (interval_queries, group_queries, scalar_queries, kernel_queries):
+for _module in (interval_queries, group_queries, scalar_queries, kernel_queries, selection_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
