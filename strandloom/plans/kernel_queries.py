@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import changepoints, exon_calls, peaks
 from ..kernels.dirichlet import UsageSettings
-from ..operators import usage
+from ..operators import paths, usage
 from .tables import events, read, shipments
 
 
@@ -67,5 +67,13 @@ def differential_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gene", "isoform", *(F.round(c, 6).alias(c) for c in ("pct1", "pct2", "logFC", "p_gene", "p_gene_adj", "TU1", "TU2", "p_DTU_gene", "p_transcript", "p_transcript_adj", "p_DTU_gene_adj")), "isoform_switch")
 
 
-QUERIES = {f.__name__: f for f in (change_points, end_peaks, coverage_exons, differential_usage)}
+def widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that users' hours of the day take through the day, by event type."""
+    rows = events(spark, sf_dir).select("event_type", "user_id", (F.floor(F.col("s") / 3600) % 24).cast("long").alias("hour"))
+    own = rows.groupBy("event_type", "user_id").agg(F.sort_array(F.collect_set("hour")).alias("nodes"), F.count(F.lit(1)).cast("double").alias("expr"))
+    flagged = own.select("event_type", "nodes", "expr", (F.col("user_id") % 5 > 0).alias("has_source"), (F.col("user_id") % 7 > 0).alias("has_sink"), F.col("user_id").alias("ord"))
+    return paths.widest_paths(flagged, "event_type", fraction=0.01)
+
+
+QUERIES = {f.__name__: f for f in (change_points, end_peaks, coverage_exons, differential_usage, widest_paths)}
 ORACLE_SQL: dict[str, str] = {}

@@ -12,3 +12,6 @@ def test_kernel_queries_run(spark):
     assert kernel_queries.end_peaks(spark, str(SF)).count() >= 10
     assert kernel_queries.coverage_exons(spark, str(SF)).count() >= 1
     assert kernel_queries.change_points(spark, str(SF)).columns == ["user_id", "pos", "start", "end", "sign"]
+    widest = kernel_queries.widest_paths(spark, str(SF))
+    assert widest.columns == ["event_type", "rank", "nodes", "expr"]
+    assert widest.where("rank = 1").count() == widest.select("event_type").distinct().count() == 5
