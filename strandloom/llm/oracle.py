@@ -42,3 +42,46 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
+
+_Q = "((s - ((s % n) + n) % n) // n)"
+
+
+def _op11(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Assignment and floored means, round after round."""
+    steps = ["v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings "
+             f"WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x AS c FROM v QUALIFY k < {k})"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, vec_id, x, k, d FROM (SELECT rid, vec_id, x, k, list_sum(list_transform(range(1, {dims + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM v, c{r}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT k, list({_Q} ORDER BY i) AS m FROM (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY k, i) GROUP BY k)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m, c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.k = c{r}.k)")
+    return f"""
+WITH {', '.join(steps)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k
+"""
+
+
+OP11 = _op11()
+
+
+def _op12(min_words: int = 4, percent: int = 30, longest: int = 40) -> str:
+    """A repeat of n words is a window of n words that occurs twice in its document."""
+    windows = "(SELECT doc_id, {w} AS w, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {w} - 1], ' ')) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {w} + 2)) AS i FROM {d} WHERE len(ws) >= {w}))"
+    of = lambda w, d="d": f"(SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM {windows.format(w=w, d=d)} WHERE n > 1) GROUP BY doc_id)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_SPACE.format("coalesce(text, '')")} AS ws FROM documents),
+r5 AS MATERIALIZED {of(5)},
+e AS (SELECT d.* FROM d JOIN r5 ON r5.doc_id = d.doc_id WHERE n > {longest}),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+  coalesce(r5.n, 0) AS n_repeat_words, coalesce(rm.n, 0) AS r, coalesce(l.n, 0) AS l
+  FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN r5 ON r5.doc_id = d.doc_id LEFT JOIN {of(min_words)} rm ON rm.doc_id = d.doc_id LEFT JOIN {of(longest + 1, 'e')} l ON l.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * r <= {percent} * n_words AND l = 0 AS kept FROM judged
+"""
+
+
+OP12 = _op12()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html_text, language, minhash, ngram_trie, oracle, packing, token_counts, token_files, urls
+from . import centroids, decontaminate, embeddings, html_text, language, minhash, ngram_trie, oracle, packing, repetition, token_counts, token_files, urls, whitening
 from .common import table
 
 
@@ -50,5 +50,17 @@ def op10_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn_weights(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op4_multi_index, op5_super_minhash, op6_suffix_automaton, op7_ngram_trie, op8_host_words, op9_language_mixture, op10_best_region)}
-ORACLE_SQL: dict[str, str] = {"op4_multi_index": oracle.OP4, "op5_super_minhash": oracle.OP5, "op6_suffix_automaton": oracle.OP6}
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_token_transducer, op3_token_files, op4_multi_index, op5_super_minhash, op6_suffix_automaton, op7_ngram_trie, op8_host_words, op9_language_mixture, op10_best_region, op11_annulus_clusters, op12_suffix_repetition, op13_svd_whitening)}
+ORACLE_SQL: dict[str, str] = {"op4_multi_index": oracle.OP4, "op5_super_minhash": oracle.OP5, "op6_suffix_automaton": oracle.OP6, "op11_annulus_clusters": oracle.OP11, "op12_suffix_repetition": oracle.OP12}
