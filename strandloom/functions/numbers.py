@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def two_decimals(v: Column) -> Column:
@@ -35,3 +40,38 @@ def ten_thousands(v: Column) -> Column:
 
 def power_log(v: Column, base: float = 2.0) -> Column:
     return F.log(base, v)
+
+
+def _texts(values: pd.Series, text: Callable[[float], str]) -> pd.Series:
+    return pd.Series([None if v != v else text(v) for v in values], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def _double_digits(values: pd.Series) -> pd.Series:
+    return _texts(values, lambda v: np.format_float_positional(v, trim="0"))
+
+
+@F.pandas_udf(StringType())
+def _float_digits(values: pd.Series) -> pd.Series:
+    return _texts(values, _fewest_decimals)
+
+
+def _fewest_decimals(v: float) -> str:
+    single = np.float32(v)
+    fixed = (f"{float(single):.{k}f}" for k in range(1, 12)) if np.isfinite(single) else ()
+    return next((t for t in fixed if np.float32(t) == single), None) or np.format_float_positional(float(single), trim="0")
+
+
+def _with_names(v: Column, digits: Column) -> Column:
+    inf = F.lit(float("inf"))
+    return F.when(F.isnan(v), "nan").when(v == inf, "inf").when(v == -inf, "-inf").when(v.isNotNull(), digits)
+
+
+def double_text(v: Column) -> Column:
+    """The fewest digits that give the double again, never with an exponent, at least one decimal; ``nan``, ``inf``, ``-inf``."""
+    return _with_names(v.cast("double"), _double_digits(v.cast("double")))
+
+
+def float_text(v: Column) -> Column:
+    """The fewest decimals, one to eleven, that give the float again, or the double's digits if none do; ``nan``, ``inf``, ``-inf``."""
+    return _with_names(v.cast("float"), _float_digits(v.cast("float")))

@@ -16,7 +16,7 @@ FLOOR = np.float32(1e-10)
 
 
 class PathGraph:
-    """Adjacency in order of first sight, node weights, and what enters and leaves at each node."""
+    """Adjacency, node weights, and what enters and leaves at each node."""
 
     def __init__(self) -> None:
         self.names: list[Hashable] = ["source", "sink"]
@@ -50,6 +50,32 @@ class PathGraph:
         self.leaves[nodes[0]] += np.float32(weight)
         self.enters[nodes[-1]] += np.float32(weight)
 
+    def __len__(self) -> int:
+        return len(self._number)
+
+    def numbers(self) -> list[int]:
+        """The nodes that are left, without source and sink."""
+        return sorted(self._number.values())
+
+    def gain(self, node: int, weight: float) -> None:
+        """Weight that enters and leaves at a node, as of a path of which no more is known."""
+        self.weight[node] += weight
+        self.enters[node] += np.float32(weight)
+        self.leaves[node] += np.float32(weight)
+
+    def connected(self) -> bool:
+        """Whether a way leads from source to sink, by walking from both ends, the smaller front first, until they meet."""
+        seen = {SOURCE: {SOURCE}, SINK: {SINK}}
+        edge, steps = {SOURCE: [SOURCE], SINK: [SINK]}, {SOURCE: self.after, SINK: self.before}
+        while edge[SOURCE] and edge[SINK]:
+            side = SOURCE if len(edge[SOURCE]) <= len(edge[SINK]) else SINK
+            front = {m for n in edge[side] for m in steps[side][n]} - seen[side]
+            if front & seen[SOURCE + SINK - side]:
+                return True
+            seen[side] |= front
+            edge[side] = list(front)
+        return False
+
     def prune(self) -> int:
         """Take out nodes that lie on no way from source to sink; how many."""
         useful = self._reach(SOURCE, self.after) & self._reach(SINK, self.before)
@@ -73,11 +99,11 @@ class PathGraph:
         return seen
 
     def order(self) -> list[int]:
-        """Nodes, each before its successors, by depth first search that takes the latest seen successor first; a cycle is an error."""
+        """Nodes, each before its successors, by depth first search that takes the latest made successor first; a cycle is an error."""
         done: dict[int, bool] = {}
         out: list[int] = []
         for root in (SOURCE, SINK, *sorted(self._number.values())):
-            stack = [] if root in done else [(root, iter(reversed(self.after[root])))]
+            stack = [] if root in done else [(root, iter(sorted(self.after[root], reverse=True)))]
             done.setdefault(root, False)
             while stack:
                 node, rest = stack[-1]
@@ -90,7 +116,7 @@ class PathGraph:
                     raise ValueError("the path graph has a cycle")
                 else:
                     done[step] = False
-                    stack.append((step, iter(reversed(self.after[step]))))
+                    stack.append((step, iter(sorted(self.after[step], reverse=True))))
         return out[::-1]
 
     def smooth(self) -> None:
@@ -103,7 +129,7 @@ class PathGraph:
         held = np.array(held, dtype=np.float32)
         gained = np.zeros_like(held)
         for n in order:
-            to = np.fromiter(steps[n], dtype=np.int64)
+            to = np.array(sorted(steps[n]), dtype=np.int64)
             if len(to) and held[n]:
                 weights = [self.weight[m] for m in to]
                 total = sum(weights)

@@ -15,3 +15,18 @@ def test_kernel_queries_run(spark):
     widest = kernel_queries.widest_paths(spark, str(SF))
     assert widest.columns == ["event_type", "rank", "nodes", "expr"]
     assert widest.where("rank = 1").count() == widest.select("event_type").distinct().count() == 5
+
+
+@pytest.mark.skipif(not SF.exists(), reason="test tables are absent")
+def test_assembled_orders_cover_what_their_exons_cover(spark):
+    from strandloom.operators.assembly import assemble_transfrags
+    from strandloom.plans import assembly_queries
+
+    frags = assembly_queries._transfrags(spark, str(SF)).where("id < 800")
+    found = assemble_transfrags(frags)
+    want = frags.selectExpr("inline(exons)", "expr").selectExpr("sum((end - start) * expr)").first()[0]
+    assert found.coverage.selectExpr("sum((end - start) * value)").first()[0] == pytest.approx(want, rel=1e-6)
+    isoforms = found.isoforms.collect()
+    assert sorted(r.transcript for r in isoforms) == list(range(1, len(isoforms) + 1))
+    assert {r.gene for r in isoforms} == set(range(1, len({r.gene for r in isoforms}) + 1))
+    assert {r.tss for r in isoforms} == set(range(1, len({r.tss for r in isoforms}) + 1))
