@@ -20,6 +20,7 @@ from ..kernels.splice_graph import Frag
 from .components import connected_components
 from .intervals import cluster_intervals, interval_join
 from .ordinals import global_row_number, running_total
+from .scans import cluster_by_bins
 from .selection import per_million, transfrag_checks
 from .staging import staged
 
@@ -31,6 +32,8 @@ _KINDS = {
     "tried": f"{_PLACE}, at: int, k: bigint, k_most: bigint, transfrags: bigint, short: bigint, short_expr: double, lost_short: bigint, lost_short_expr: double, kmers: bigint, lost_kmers: bigint, total_expr: double, graph_expr: double, share: double, valid: boolean, score: bigint, chosen: boolean",
     "isoform": f"{_PLACE}, gene: int, rank: int, site: int, sites: int, exons: array<struct<start: bigint, end: bigint>>, flow: double, share: double, gene_share: double",
 }
+#: Bases of a bin, the part of a chromosome that one task scans.
+BIN = 1 << 16
 #: Where a transfrag stands among those of its strand: those whose strand was given come first.
 _ORDER = "struct<round: int, start: bigint, sample_ord: bigint, ord: bigint>"
 
@@ -62,7 +65,7 @@ def sample_stats(checked: DataFrame) -> DataFrame:
 def with_loci(frags: DataFrame) -> DataFrame:
     """Transfrags with ``start``, ``end`` and ``locus``: spans that overlap, numbered from 1 by chromosome and start."""
     spanned = frags.withColumn("start", F.element_at("exons", 1)["start"]).withColumn("end", F.element_at("exons", -1)["end"])
-    own = staged(cluster_intervals(spanned, ["chrom"], "start", "end", ["sample_ord", "ord"], touching=False, out="_own"), "assembly-loci")
+    own = staged(cluster_by_bins(spanned, ["chrom"], "start", "end", ["sample_ord", "ord"], width=BIN, gap=-1, out="_own"), "assembly-loci")
     sizes = own.groupBy("chrom").agg(F.max("_own").alias("_n"))  # a row a chromosome
     before = sizes.select(F.col("chrom").alias("_chrom"), F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return own.join(before, F.col("chrom") == F.col("_chrom")).withColumn("locus", F.col("_own") + F.col("_before")).drop("_own", "_chrom", "_before")

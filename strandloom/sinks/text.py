@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from ..functions.text import block_lists, split_name
 
 #: The display colours of sources by index; the last marks several sources.
-SOURCE_COLOURS = ("200,0,255", "0,0,200", "0,200,0", "200,150,0", "200,0,0", "0,200,200", "150,75,0", "100,100,100", "50,50,150", "255,0,0")
+SOURCE_COLOURS = ("255,0,0", "255,100,0", "255,200,0", "200,255,0", "0,255,200", "0,200,255", "0,100,255", "0,0,255", "100,0,255", "200,0,255")
 
 
 def bed12_line(exons: Column, *, chrom: Column, name: Column, score: Column, strand: Column, rgb: Column, thick: tuple[Column, Column] | None = None, trailing: bool = False) -> Column:
