@@ -48,8 +48,8 @@ TILE = 512
 BLOOM_BITS = 1 << 27
 #: Orders that draw buckets' leaders; leaders that the strays of a bucket above TILE are held against further.
 LEADERS = 4
-#: Sets of sizes within one class differ by this factor at most; a stray reaches two classes as a rule.
-SIZE_STEP = 2.0
+#: Sets of sizes within one class differ by this factor at most; a stray of any reach has some twenty classes.
+SIZE_STEP = 1.02
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = WordHashes()
@@ -185,11 +185,12 @@ def near_duplicate_rows(docs: DataFrame, *, id_col: str, text_col: str, width: i
     component = staged(connected_components(confirm(pairs, sets, percent)), "minhash-components")
     reach = None
     if not hot.isEmpty():
-        strays = _strays(placed.where(F.col("n") > TILE), component, LEADERS)
+        shared = staged(shared_shingles(sets.join(hot, "node", "left_semi")), "minhash-shared")
+        strays = _strays(placed.where(F.col("n") > TILE), component, LEADERS, shared.join(signed.select("node", "size"), "node"))
         more = strays.where("stray").select(F.explode("leaders").alias("a"), F.col("node").alias("b")).distinct().withColumn("alone", F.lit(False))
         component = _merged(component, confirm(staged(_best(_alike(more, signed, estimate)), "minhash-pairs"), sets, percent))
         strays = _strays(placed.where(F.col("n") > TILE), component, 0).where("stray").select("node").distinct()
-        reach = staged(reachable(strays, shared_shingles(sets.join(hot, "node", "left_semi")), signed, percent), "minhash-reach")
+        reach = staged(reachable(strays, shared, signed, percent), "minhash-reach")
 
     tiles = Tiles(placed, signed, component, reach, bands)
     near = staged(tiles.near(estimate), "minhash-near")
@@ -215,10 +216,19 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
 
 
-def _strays(placed: DataFrame, component: DataFrame, leaders: int) -> DataFrame:
-    """Per bucket and member: n, node, c (component), stray (outside the bucket's largest component), leaders of that one."""
-    comp = staged(placed.join(component, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("c")), "minhash-comp")
-    held = comp.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("held"), F.array(*(_drawn(F.lit(k)) for k in range(1, leaders + 1))).cast("array<bigint>").alias("leaders"))
+def _strays(placed: DataFrame, component: DataFrame, leaders: int, shared: DataFrame | None = None) -> DataFrame:
+    """Per bucket and member: n, node, c (component), stray (outside the bucket's largest component), leaders of that one.
+
+    Every other leader is drawn; the rest are those with the fewest shingles of their own by
+    ``shared`` (node, size, shared), ties drawn: what lies in the middle of a group links with more of it.
+    """
+    comp = placed.join(component, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("c"))
+    own = F.lit(0)
+    if shared is not None:
+        comp, own = comp.join(shared, "node", "left"), F.col("size") - F.col("shared")
+    comp = staged(comp, "minhash-comp")
+    central = lambda k: F.min_by("node", F.struct(own, F.xxhash64("node", F.lit(k))))
+    held = comp.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("held"), F.array(*(_drawn(F.lit(k)) if k % 2 else central(k) for k in range(leaders))).cast("array<bigint>").alias("leaders"))
     lead = staged(held.groupBy("bucket").agg(F.max_by(F.struct("c", "leaders"), F.struct("held", "c")).alias("lead")), "minhash-lead")
     return staged(comp.join(lead, "bucket").select("bucket", "n", "node", "c", (F.col("c") != F.col("lead.c")).alias("stray"), F.col("lead.leaders").alias("leaders")), "minhash-strays")
 
