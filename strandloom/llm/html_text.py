@@ -2,8 +2,11 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, with weights
 learnt from labelled pages (pages that mark their content with ``article`` or ``main``): the log
-odds of a feature, inside against outside the content. A linear scan (Kadane) finds the best
-contiguous region; its blocks are the main text. Elements that never are article text (menus,
+odds of a feature, inside against outside the content. A word's feature is its block's element,
+whether the block is mostly links, and, on a page with marks, whether it stands inside them; for
+pages without, the labelled pages are counted once more with their marks hidden. A linear scan
+(Kadane) finds the best contiguous region, from a word to a word; its blocks are the main text,
+on every page. Elements that never are article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; by element
 name or by whole class and id names) are left out before the scan, with their tags, so a region
 spans them at no cost. Where a page's only article or main stands inside an element left out by a
@@ -14,6 +17,9 @@ Markup may be broken: a ``<`` that starts no tag is text, unclosed elements end
 parent. Character references are decoded; white space inside a block becomes one space; blocks
 are joined in page order by one newline. Nothing else is dropped or capped.
 
+Time grows with the length of a page, whatever its markup: a tag's end is looked for beyond the next
+``>`` only until one quoted attribute runs to the end of the page, and what is open is indexed by name.
+
 Scale: one map over the pages, no shuffle; weights come from a bounded sample of ``sample`` pages.
 """
 
@@ -31,9 +37,15 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SAMPLE = 400
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag whose attributes may hold a quoted ``>``.
+_REST = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: Elements whose content is no text, up to their end tag.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea title iframe svg math select object".split()}
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("nav header footer aside form menu button dialog head label fieldset".split())
+#: Elements by which pages mark their content.
+MARKS = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset(("p", "li", "dt", "dd", "option"))
 #: Class and id words of page furniture; article or main inside such an element may still be the text.
@@ -83,10 +95,72 @@ class Block:
         self.words = text.count(" ") + 1 if text else 0
 
 
-def read_blocks(page: str) -> list[Block]:
-    """The page's blocks in order; ``content``: inside article or main; ``skipped``: never article text."""
+def _tags(page: str):
+    """(text before, closing, name, attributes) of every tag, and the text after the last with an empty name."""
+    last = at = 0
+    final, quoted = page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end, closing, name, attributes = len(page) if end < 0 else end + 3, "", "", ""
+        elif at > final:  # no tag ends any more
+            break
+        elif page[at + 1] in "!?":
+            end, closing, name, attributes = page.find(">", at) + 1, "", "", ""
+        elif m := _NAME.match(page, at):
+            closing, name = m[1], m[2].lower()
+            rest = _REST.match(page, m.end()) if quoted else None
+            quoted = rest is not None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            attributes = page[m.end() : end - 1]
+            if name in _RAW and not closing:
+                stop = _RAW[name].search(page, end)
+                end, name = stop.end() if stop else len(page), ""
+        else:
+            at += 1
+            continue
+        yield page[last:at], closing, name, attributes
+        last = at = end
+    yield page[last:], "", "", ""
+
+
+class _Open:
+    """The open elements, (name, left out, content, article in a layout element), with their places by name."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple[str, int, bool, bool]) -> None:
+        self.places.setdefault(element[0], []).append(len(self.stack))
+        if element[0] in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def depth(self, name: str) -> int:
+        """The innermost open element of a name; -1 without."""
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    @property
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def top(self) -> tuple[str, int, bool, bool]:
+        return self.stack[-1] if self.stack else ("", 0, False, False)
+
+
+def read_blocks(page: str, *, hide: bool = False) -> list[Block]:
+    """The page's blocks in order; ``content``: inside article or main; ``skipped``: never article text. ``hide``: marks count as plain div."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # element; from here on: left out, content, article in a layout element
+    opened = _Open()
     pieces: list[str] = []
     tags: tuple[list[str], list[str]] = ([], [])  # of elements that may be text, of those left out
     inside_layout: list[Block] = []
@@ -96,56 +170,50 @@ def read_blocks(page: str) -> list[Block]:
         text = _WHITE.sub(" ", "".join(pieces)).strip()
         pieces.clear()
         if text:
-            name = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "body")
-            level, content, inside = stack[-1][1:] if stack else (0, False, False)
+            name = opened.stack[opened.block][0] if opened.block >= 0 else "body"
+            _, level, content, inside = opened.top()
             own = tags[level > 0]
-            out.append(Block(text, own.copy(), f"{name}{':linked' if 2 * linked[0] > linked[1] else ''}", content, level > 0))
+            out.append(Block(text, own.copy(), f"{'div' if hide and name in MARKS else name}{':linked' if 2 * linked[0] > linked[1] else ''}", content, level > 0))
             if inside and level == 1:
                 inside_layout.append(out[-1])
             own.clear()
         linked[0] = linked[1] = 0
 
-    def add(raw: str) -> None:
+    for raw, closing, name, attributes in _tags(page):
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             linked[1] += len(text)
-            if any(x[0] == "a" for x in stack):
+            if opened.depth("a") >= 0:
                 linked[0] += len(text)
-
-    last = 0
-    for m in _TOKEN.finditer(page):
-        add(page[last : m.start()])
-        last = m.end()
-        name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        if m[2] or m[5]:  # an end tag
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+        shown = "div" if hide and name in MARKS else name
+        if closing:
+            depth = opened.depth(name)
             if name in BLOCKS:
                 flush()
-                tags[bool(stack) and stack[depth][1] > 0].append("/" + name)
-            if depth >= 0 and (name in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth + 1 :])):
-                del stack[depth:]
+                tags[bool(opened.stack) and opened.stack[depth][1] > 0].append("/" + shown)
+            if depth >= 0 and (name in BLOCKS or opened.block < depth):
+                opened.cut(depth)
             continue
         if name in BLOCKS:
             flush()
-            while stack and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or stack[-1][0] == name and name in CLOSED_BY_BLOCK):
-                stack.pop()
+            while opened.stack and (opened.top()[0] not in BLOCKS or opened.top()[0] == "p" or opened.top()[0] == name and name in CLOSED_BY_BLOCK):
+                opened.cut(len(opened.stack) - 1)
             if name in ("article", "main", "body", "footer"):
-                while stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                    stack.pop()
+                while opened.stack and opened.top()[0] in CLOSED_BY_BLOCK:
+                    opened.cut(len(opened.stack) - 1)
         elif name == "br":
             pieces.append(" ")
-        _, level, content, inside = stack[-1] if stack else ("", 0, False, False)
-        if name not in VOID and not (m[4] or m[7] or "").rstrip().endswith("/"):
-            own = _left_out(name, m[4] or m[7] or "")
-            inside = inside or level == 1 and name in ("article", "main")
+        _, level, content, inside = opened.top()
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            own = _left_out(name, attributes)
+            inside = inside or level == 1 and name in MARKS
             level = 2 if own and inside else max(level, own)
-            stack.append((name, level, content or name in ("article", "main"), inside))
+            opened.push((name, level, content or name in MARKS, inside))
         if name in BLOCKS:
-            tags[level > 0].append(name)
-    add(page[last:])
+            tags[level > 0].append(shown)
     flush()
     if not any(b.content and not b.skipped for b in out):
         for b in inside_layout:
@@ -161,20 +229,33 @@ class Weights:
         total_in, total_out = sum(inside.values()) + 1.0, sum(outside.values()) + 1.0
         self.weight = {f: max(-4.0, min(4.0, math.log((inside[f] + 0.5) / total_in) - math.log((outside[f] + 0.5) / total_out))) for f in inside.keys() | outside.keys()}
 
-    def block(self, b: Block) -> float:
-        """The words' score less the tags' cost."""
-        tags = sum(min(0.0, self.weight.get("tag:" + t, -0.2)) for t in b.tags)
-        word = self.weight.get("word:" + b.feature, -0.5 if b.feature.endswith(":linked") else 0.5)
-        return tags + b.words * max(-1.0, min(1.0, word))
+    def tags(self, b: Block) -> float:
+        """What the tags before a block cost; never a gain."""
+        return sum(min(0.0, self.weight.get("tag:" + t, -0.2)) for t in b.tags)
+
+    def words(self, b: Block, mark: str) -> float:
+        unknown = {":in": 1.0, ":out": -1.0}.get(mark, -0.5 if b.feature.endswith(":linked") else 0.5)
+        return b.words * max(-1.0, min(1.0, self.weight.get(f"word:{b.feature}{mark}", unknown)))
+
+
+def _marked(blocks: list[Block]) -> list[str]:
+    """Each block's place to the page's marks; all the same, and empty, on a page without any."""
+    if not any(b.content for b in blocks):
+        return [""] * len(blocks)
+    return [":in" if b.content else ":out" for b in blocks]
 
 
 def features(page: str) -> tuple[Counter[str], Counter[str]]:
-    """Feature counts inside and outside the content of a page that marks it; empty for other pages."""
+    """Feature counts inside and outside the content of a page that marks it, with the marks and with them hidden; empty for other pages."""
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
-    blocks = read_blocks(page)
-    if any(b.content and not b.skipped for b in blocks):
-        for b in blocks:
+    shown, hidden = read_blocks(page), read_blocks(page, hide=True)
+    kept = [b for b in shown if not b.skipped]
+    for b, mark in zip(kept, _marked(kept), strict=True):
+        if mark:
+            (inside if b.content else outside)[f"word:{b.feature}{mark}"] += b.words
+    if any(b.content for b in kept):
+        for b in hidden:
             own = inside if b.content and not b.skipped else outside
             own["word:" + b.feature] += b.words
             for t in b.tags:
@@ -182,21 +263,28 @@ def features(page: str) -> tuple[Counter[str], Counter[str]]:
     return inside, outside
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The blocks of the best contiguous region, the left-out ones excepted; a page that marks its content is taken at its word."""
-    blocks = [b for b in read_blocks(page or "") if not b.skipped]
-    content = [b for b in blocks if b.content]
-    if content:
-        return "\n".join(b.text for b in content)
+def best_region(costs: list[float], gains: list[float]) -> tuple[int, int]:
+    """The blocks, first and last + 1, of the best region: gains of its blocks less the costs between them; (0, 0) if none is above zero.
+
+    A region begins with a block's words, so what the tags before it cost does not count.
+    """
     best, span, run, start = 0.0, (0, 0), 0.0, 0
-    for i, b in enumerate(blocks):
-        score = weights.block(b)
+    for i, (cost, gain) in enumerate(zip(costs, gains, strict=True)):
+        run += cost
         if run <= 0:
             run, start = 0.0, i
-        run += score
+        run += gain
         if run > best:
             best, span = run, (start, i + 1)
-    return "\n".join(b.text for b in blocks[span[0] : span[1]])
+    return span
+
+
+def main_text(page: str | None, weights: Weights, *, hide: bool = False) -> str:
+    """The blocks of the best contiguous region, the left-out ones excepted."""
+    blocks = [b for b in read_blocks(page or "", hide=hide) if not b.skipped]
+    marks = [""] * len(blocks) if hide else _marked(blocks)
+    a, b = best_region([weights.tags(x) for x in blocks], [weights.words(x, m) for x, m in zip(blocks, marks, strict=True)])
+    return "\n".join(x.text for x in blocks[a:b])
 
 
 def learn_weights(pages: DataFrame, *, html_col: str = "html", sample: int = SAMPLE) -> Weights:
@@ -218,7 +306,7 @@ def learn_weights(pages: DataFrame, *, html_col: str = "html", sample: int = SAM
         names = sorted(inside.keys() | outside.keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], ["feature", "a", "b"])
 
-    found = chosen.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(5000).collect()
+    found = chosen.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()  # a few rows a block element
     return Weights(Counter({r["feature"]: r["a"] for r in found}), Counter({r["feature"]: r["b"] for r in found}))
 
 
