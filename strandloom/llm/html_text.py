@@ -9,7 +9,7 @@ pages without, the labelled pages are counted once more with their marks hidden.
 on every page. Elements that never are article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; by element
 name or by whole class and id names) are left out before the scan, with their tags, so a region
-spans them at no cost. Where a page's only article or main stands inside an element left out by a
+spans them at no cost; so is text between the marked parts of a page. Where a page's only article or main stands inside an element left out by a
 layout class, the article counts.
 
 Defined results: null or empty HTML, and pages without a positive region, give the empty text.
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SAMPLE = 400
+#: Counts of a feature that weigh as much as what is assumed of it unseen.
+PRIOR = 100
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: The rest of a tag whose attributes may hold a quoted ``>``.
 _REST = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
@@ -227,15 +229,28 @@ class Weights:
     def __init__(self, inside: Counter[str] | None = None, outside: Counter[str] | None = None):
         inside, outside = inside or Counter(), outside or Counter()
         total_in, total_out = sum(inside.values()) + 1.0, sum(outside.values()) + 1.0
-        self.weight = {f: max(-4.0, min(4.0, math.log((inside[f] + 0.5) / total_in) - math.log((outside[f] + 0.5) / total_out))) for f in inside.keys() | outside.keys()}
+        self.weight = {}
+        for f in inside.keys() | outside.keys():
+            odds = math.log((inside[f] + 0.5) / total_in) - math.log((outside[f] + 0.5) / total_out)
+            seen = inside[f] + outside[f]
+            self.weight[f] = (seen * max(-4.0, min(4.0, odds)) + PRIOR * self.unseen(f)) / (seen + PRIOR)
+
+    @staticmethod
+    def unseen(feature: str) -> float:
+        """The weight of a feature of which nothing is known."""
+        if feature.startswith("tag:"):
+            return -0.2
+        return 1.0 if feature.endswith(":in") else -1.0 if feature.endswith(":out") else -0.5 if feature.endswith(":linked") else 0.5
+
+    def of(self, feature: str) -> float:
+        return self.weight.get(feature, self.unseen(feature))
 
     def tags(self, b: Block) -> float:
         """What the tags before a block cost; never a gain."""
-        return sum(min(0.0, self.weight.get("tag:" + t, -0.2)) for t in b.tags)
+        return sum(min(0.0, self.of("tag:" + t)) for t in b.tags)
 
     def words(self, b: Block, mark: str) -> float:
-        unknown = {":in": 1.0, ":out": -1.0}.get(mark, -0.5 if b.feature.endswith(":linked") else 0.5)
-        return b.words * max(-1.0, min(1.0, self.weight.get(f"word:{b.feature}{mark}", unknown)))
+        return b.words * max(-1.0, min(1.0, self.of(f"word:{b.feature}{mark}")))
 
 
 def _marked(blocks: list[Block]) -> list[str]:
@@ -280,9 +295,12 @@ def best_region(costs: list[float], gains: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None, weights: Weights, *, hide: bool = False) -> str:
-    """The blocks of the best contiguous region, the left-out ones excepted."""
+    """The blocks of the best contiguous region, those left out and text between a page's marked parts excepted."""
     blocks = [b for b in read_blocks(page or "", hide=hide) if not b.skipped]
     marks = [""] * len(blocks) if hide else _marked(blocks)
+    inside = [i for i, m in enumerate(marks) if m == ":in"]
+    if inside:  # what stands between marked parts is an inset
+        blocks, marks = zip(*((x, m) for i, (x, m) in enumerate(zip(blocks, marks, strict=True)) if m == ":in" or not inside[0] < i < inside[-1]), strict=True)
     a, b = best_region([weights.tags(x) for x in blocks], [weights.words(x, m) for x, m in zip(blocks, marks, strict=True)])
     return "\n".join(x.text for x in blocks[a:b])
 
