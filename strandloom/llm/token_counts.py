@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from .bpe import END, CompiledBpe, byte_alphabet, compiled, public_path
 from .common import id_text, small_batches, text_bytes
 
-BLOCK = 1 << 16
+BLOCK = 1 << 12
+#: Words longer than this are counted anew each time, so that what is remembered is bounded in bytes too.
+LONG_WORD = 64
 LIMIT = 2048
 
 
@@ -121,10 +123,12 @@ class TokenCounter:
         """Tokens of a text without ASCII white space."""
         known = self.words.get(word)
         if known is None:
-            if len(self.words) >= self.remembered:
-                self.words.clear()
-                self.words[b""] = 0
-            known = self.words[word] = self._word(word.decode())
+            known = self._word(word.decode())
+            if len(word) <= LONG_WORD:
+                if len(self.words) >= self.remembered:
+                    self.words.clear()
+                    self.words[b""] = 0
+                self.words[word] = known
         return known
 
     def _word(self, text: str) -> int:
@@ -173,9 +177,8 @@ class TokenCounter:
         return maps[0]
 
     def count(self, text: bytes, block: int = BLOCK) -> int:
-        if len(text) <= block:
-            return self.emitted(text.split())
-        whole = self.total([self.state_map(text[i : i + block]) for i in range(0, len(text), block)])
+        """Tokens of a text of any length: the maps of its blocks, composed by the scan, from the start state to the end."""
+        whole = self.total([self.state_map(text[i : i + block]) for i in range(0, max(1, len(text)), block)])
         return whole.tokens + self.word(whole.head) + (self.word(whole.tail) if whole.tail else 0)
 
 

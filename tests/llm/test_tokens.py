@@ -159,3 +159,24 @@ def test_packing_puts_like_documents_together_and_spreads_repeated_rows(docs):
     encoded = packing.staged(packing.encode_with_statistics(docs(same), "byte_bpe_50k.json", id_col="doc_id", text_col="text", end_id=1), "t").where("df IS NULL")
     shards = packing.dealt(encoded, 1800, 100).groupBy("bucket", "piece", "part").count().collect()
     assert len(shards) > 5 and max(r["count"] for r in shards) < 100
+
+
+def test_texts_of_every_length_go_through_maps_and_scan(monkeypatch):
+    counter = token_counts.TokenCounter(compiled(public_path("word_bpe_49k.json")))
+    made, composed = [], []
+    state_map, compose = token_counts.TokenCounter.state_map, token_counts.TokenCounter.compose
+    monkeypatch.setattr(token_counts.TokenCounter, "state_map", lambda self, b: made.append(len(b)) or state_map(self, b))
+    monkeypatch.setattr(token_counts.TokenCounter, "compose", lambda self, a, b: composed.append(1) or compose(self, a, b))
+    library = counter.bpe.library
+    for n in (0, 1, 3, 700, 1500, 40_000):
+        text = "Some words, of 3 kinds " * n
+        made.clear(), composed.clear()
+        assert counter.count(text.encode()) == len(library.encode(text, add_special_tokens=False).ids)
+        assert sum(made) == len(text) and len(composed) == len(made) - 1 and max(made) <= token_counts.BLOCK
+
+
+def test_a_word_of_megabytes_is_counted_and_not_remembered():
+    counter = token_counts.TokenCounter(compiled(public_path("word_bpe_49k.json")))
+    word = "abcxyz" * 20_000
+    assert counter.count(word.encode()) == len(counter.bpe.library.encode(word, add_special_tokens=False).ids)
+    assert max(map(len, counter.words)) <= token_counts.LONG_WORD
