@@ -69,3 +69,16 @@ def block_lists(exons: Column, start: Column) -> tuple[Column, Column]:
     sizes = F.array_join(F.transform(exons, lambda e: (e["end"] - e["start"]).cast("string")), ",")
     starts = F.array_join(F.transform(exons, lambda e: (e["start"] - start).cast("string")), ",")
     return sizes, starts
+
+
+def joined_pieces(pieces: Column) -> Column:
+    """Half-open (start, end) pieces as ascending exons: a piece that begins where the last ends is joined to it."""
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    piece = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+
+    def add(out: Column, p: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(piece(last["start"], F.greatest(last["end"], p["end"]))))
+        return F.when(last["end"] == p["start"], grown).otherwise(F.concat(out, F.array(piece(p["start"], p["end"]))))
+
+    return F.aggregate(F.array_sort(pieces), empty, add)
