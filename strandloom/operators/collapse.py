@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
+from ..functions.text import reverse_complement
 from ..kernels import alignment_errors as errors
 from ..kernels.collapse import CollapseSettings, Read, collapse_gene, genes_of
 from ..kernels.models import Model
@@ -153,3 +154,21 @@ def supported_variants(walked: DataFrame, accepted: DataFrame, *, least: int = 5
 def collapse(alignments: DataFrame, fasta: DataFrame, settings: ReadSettings = ReadSettings()) -> DataFrame:
     """Numbered models of the alignments."""
     return numbered_models(models_of(accepted_reads(walked_reads(alignments, fasta, settings), settings), settings))
+
+
+def polya_windows(models: DataFrame, fasta: DataFrame, key: list[str], *, window: int = errors.POLYA_WINDOW) -> DataFrame:
+    """Models (key, scaffold, strand, start, end) with polya_seq, a_count and a_share: the genome beyond the 3' end, read along the strand.
+
+    Coordinates index the sequence as they are. Beyond the genome's ends the window is shorter;
+    nothing of it left counts as a share of 0. A strand other than + and - is an error.
+    """
+    plus = F.col("strand") == "+"
+    bad = F.raise_error(F.concat(F.lit("bad strand "), F.coalesce("strand", F.lit("null"))))
+    low = F.when(plus, F.col("end")).when(F.col("strand") == "-", F.col("start") - window).otherwise(bad)
+    high = F.when(plus, F.col("end") + window).otherwise(F.col("start"))
+    placed = models.withColumn("_low", F.greatest(low, F.lit(0)).cast("long")).withColumn("_high", F.greatest(high, F.lit(0)).cast("long"))
+    cut = with_reference(placed.where("_low < _high").select(*key, "scaffold", "_low", "_high"), genome_pieces(fasta), key=key, scaffold="scaffold", low="_low", high="_high").select(*key, "ref")
+    found = placed.join(cut, key, "left").withColumn("ref", F.coalesce("ref", F.lit("")))
+    seq = F.when(plus, F.col("ref")).otherwise(reverse_complement(F.col("ref")))
+    told = found.withColumn("polya_seq", seq).withColumn("a_count", (F.length("polya_seq") - F.length(F.replace("polya_seq", F.lit("A"), F.lit("")))).cast("long"))
+    return told.withColumn("a_share", F.col("a_count") / F.greatest(F.length("polya_seq"), F.lit(1))).drop("ref", "_low", "_high")

@@ -33,3 +33,15 @@ def test_collapse_from_sam_and_fasta(spark, tmp_path):
     walked = collapse.walked_reads(reads, fasta).cache()
     (variant,) = collapse.supported_variants(walked, collapse.accepted_reads(walked)).collect()
     assert (variant.pos, variant.kind, variant.support, variant.cover) == (350, "M", 5, 11)
+
+
+def test_windows_beyond_the_three_prime_end_equal_the_kernel(spark):
+    from strandloom.kernels.alignment_errors import polya_window
+
+    rng = random.Random(8)
+    genome = "".join(rng.choice("ACGTN") for _ in range(300))
+    rows = [(k, "c", rng.choice("+-"), a, a + 30) for k, a in enumerate([0, 3, 15, 100, 250, 268, 270, 290, 400])]
+    models = spark.createDataFrame(rows, "model long, scaffold string, strand string, start long, end long")
+    fasta = spark.createDataFrame([("c", genome)], "id string, seq string")
+    found = {r.model: (r.polya_seq, r.a_count, r.a_share) for r in collapse.polya_windows(models, fasta, ["model"]).collect()}
+    assert found == {k: polya_window(s, genome, a, b) for k, _, s, a, b in rows}
