@@ -50,7 +50,7 @@ def with_reference(reads: DataFrame, pieces: DataFrame, *, key: list[str], scaff
     return reads.join(glued, key, "left")
 
 
-_WALKED = "line long, read_id string, scaffold string, strand string, start long, end long, starts array<long>, ends array<long>, before array<string>, after array<string>, length long, hard long, soft long, inserted long, deleted long, mismatched long, bad_sides long, density string, events array<struct<pos:bigint,kind:string,seq:string>>"
+_WALKED = "path string, line long, cigar string, read_id string, scaffold string, strand string, start long, end long, starts array<long>, ends array<long>, before array<string>, after array<string>, length long, hard long, soft long, inserted long, deleted long, mismatched long, bad_sides long, density string, events array<struct<pos:bigint,kind:string,seq:string>>"
 _NAMES = [c.split()[0] for c in _WALKED.replace("array<struct<pos:bigint,kind:string,seq:string>>", "x").split(", ")]
 
 
@@ -73,10 +73,10 @@ def walked_reads(alignments: DataFrame, fasta: DataFrame, settings: ReadSettings
                 starts, ends = [e["start"] for e in r.exons], [e["end"] for e in r.exons]
                 near = errors.density(found.before, found.after, strand, settings.junction_window, settings.junction_errors, settings.match)
                 hard, soft, inserted, deleted, mismatched = (found.counts[k] for k in "HSIDX")
-                out.append((r.line, r.qname, r.rname, strand, r.pos, r.end, starts, ends, found.before, found.after, len(r.seq) + hard, hard, soft, inserted, deleted, mismatched, near["bad_sides"], "\t".join(near[k] for k in ("junctions", "totals", "profiles", "tokens", "pictures")), [{"pos": p, "kind": k, "seq": s} for p, k, s in found.events]))
+                out.append((r.path, r.line, r.cigar, r.qname, r.rname, strand, r.pos, r.end, starts, ends, found.before, found.after, len(r.seq) + hard, hard, soft, inserted, deleted, mismatched, near["bad_sides"], "\t".join(near[k] for k in ("junctions", "totals", "profiles", "tokens", "pictures")), [{"pos": p, "kind": k, "seq": s} for p, k, s in found.events]))
             yield pd.DataFrame(out, columns=_NAMES)
 
-    return rows.select("path", "line", "qname", "rname", "pos", "end", "low", "seq", "ops", "exons", "ref", F.col("class").alias("kind")).mapInPandas(run, _WALKED)
+    return rows.select("path", "line", "cigar", "qname", "rname", "pos", "end", "low", "seq", "ops", "exons", "ref", F.col("class").alias("kind")).mapInPandas(run, _WALKED)
 
 
 class _Shifted:
@@ -92,13 +92,24 @@ class _Shifted:
         return self.text[part.start - self.at : part.stop - self.at]
 
 
-def accepted_reads(walked: DataFrame, settings: ReadSettings = ReadSettings()) -> DataFrame:
-    """Reads at or above the thresholds and without dense junction errors; of a read's alignments the best covered passing one."""
+def judged_reads(walked: DataFrame, settings: ReadSettings = ReadSettings()) -> DataFrame:
+    """``walked`` with coverage, identity and verdict: discarded below a threshold, else local_density_error, else accepted."""
     c = lambda name: F.col(name).cast("double")
     rows = walked.withColumn("coverage", C.coverage_percent(c("length"), c("hard"), c("soft"))).withColumn("identity", C.identity_percent(c("length"), c("hard"), c("soft"), c("inserted"), c("deleted"), c("mismatched"), over_read=settings.over_read))
+    enough = (F.col("coverage") >= settings.coverage) & (F.col("identity") >= settings.identity)
+    return rows.withColumn("verdict", F.when(~F.coalesce(enough, F.lit(False)), "discarded").when(F.col("bad_sides") > 0, "local_density_error").otherwise("accepted"))
+
+
+def best_accepted(judged: DataFrame, settings: ReadSettings = ReadSettings()) -> DataFrame:
+    """Of a read's accepted alignments the best covered passing one, else the first in the files."""
     passing = (F.col("coverage") > settings.coverage) & (F.col("identity") > settings.identity)
-    rows = rows.where((F.col("coverage") >= settings.coverage) & (F.col("identity") >= settings.identity) & (F.col("bad_sides") == 0))
-    return keep_best_passing(rows, ["read_id"], passing, "coverage", "line")
+    rows = judged.where("verdict = 'accepted'").withColumn("_at", F.struct("path", "line"))
+    return keep_best_passing(rows, ["read_id"], passing, "coverage", "_at").drop("_at")
+
+
+def accepted_reads(walked: DataFrame, settings: ReadSettings = ReadSettings()) -> DataFrame:
+    """Reads at or above the thresholds and without dense junction errors; of a read's alignments the best covered passing one."""
+    return best_accepted(judged_reads(walked, settings), settings)
 
 
 _MODELS = "scaffold string, locus long, strand string, gene long, model long, gene_start long, starts array<long>, ends array<long>, reads array<string>, start_wobble array<long>, end_wobble array<long>, start_rank array<long>, end_rank array<long>, start_tokens array<string>, end_tokens array<string>"
@@ -139,15 +150,28 @@ def numbered_models(models: DataFrame) -> DataFrame:
     return named.withColumn("model_id", F.concat_ws(".", "gene_id", F.col("model").cast("string"))).drop("_local", "_before")
 
 
-def supported_variants(walked: DataFrame, accepted: DataFrame, *, least: int = 5) -> DataFrame:
-    """(scaffold, pos, kind, seq, support, cover): events of all walked reads with ``least`` reads or more, and the accepted reads over the place."""
-    events = walked.select("scaffold", "read_id", F.explode("events").alias("e")).select("scaffold", "read_id", "e.*")
-    support = events.groupBy("scaffold", "pos", "kind", "seq").agg(F.countDistinct("read_id").alias("support")).where(F.col("support") >= least)
+def variant_events(walked: DataFrame) -> DataFrame:
+    """(scaffold, read_id, pos, kind, seq): what the walk found, of discarded reads too."""
+    return walked.select("scaffold", "read_id", F.explode("events").alias("e")).select("scaffold", "read_id", "e.*")
+
+
+def reads_over(places: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(scaffold, pos, read_id): the accepted reads with an exon over each distinct place.
+
+    Exons count from 1 and places from 0, and both are compared as they are: a read does not cover the
+    base that it starts at, and covers the one after its exon's last.
+    """
     from .intervals import interval_join
 
-    exons = accepted.select("scaffold", "read_id", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select("scaffold", "read_id", (F.col("x.starts") - 1).alias("a"), (F.col("x.ends") - 1).alias("b"))
-    places = support.select("scaffold", "pos").distinct().withColumn("pos_end", F.col("pos") + 1)
-    cover = interval_join(exons, places, ["scaffold"], width=10_000, left_span=("a", "b"), right_span=("pos", "pos_end")).groupBy("scaffold", "pos").agg(F.countDistinct("read_id").alias("cover"))
+    exons = accepted.select("scaffold", "read_id", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select("scaffold", "read_id", F.col("x.starts").alias("a"), F.col("x.ends").alias("b"))
+    spans = places.withColumn("pos_end", F.col("pos") + 1)
+    return interval_join(exons, spans, ["scaffold"], width=10_000, left_span=("a", "b"), right_span=("pos", "pos_end")).select("scaffold", "pos", "read_id")
+
+
+def supported_variants(walked: DataFrame, accepted: DataFrame, *, least: int = 5) -> DataFrame:
+    """(scaffold, pos, kind, seq, support, cover): events of all walked reads with ``least`` reads or more, and the accepted reads over the place."""
+    support = variant_events(walked).groupBy("scaffold", "pos", "kind", "seq").agg(F.countDistinct("read_id").alias("support")).where(F.col("support") >= least)
+    cover = reads_over(support.select("scaffold", "pos").distinct(), accepted).groupBy("scaffold", "pos").agg(F.countDistinct("read_id").alias("cover"))
     return support.join(cover, ["scaffold", "pos"], "left").withColumn("cover", F.coalesce("cover", F.lit(0)))
 
 
