@@ -1,4 +1,4 @@
-"""Alignments from SAM text and BAM files."""
+"""Alignments from SAM text, and the records of BAM streams."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import cigar as C
 from .lines import columns, numbered_lines, whole_number
@@ -78,6 +77,7 @@ def sam_to_bed(alignments: DataFrame) -> DataFrame:
 
 # --- BAM -------------------------------------------------------------------------------------
 
+_MAGIC = b"\x1f\x8b\x08\x04"
 _SEQ, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _FIXED = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _FORMS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
@@ -85,11 +85,17 @@ _FORMS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f":
 
 def bgzf_blocks(stream) -> Iterator[bytes]:
     """The inflated blocks of a BGZF stream; a stream cut short is an error."""
-    while True:
-        head = stream.read(18)
-        if not head:
-            raise ValueError("BGZF stream ends without its end block")
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+    for _, data in placed_blocks(stream):
+        if not data:
+            return
+        yield data
+    raise ValueError("BGZF stream ends without its end block")
+
+
+def placed_blocks(stream) -> Iterator[tuple[int, bytes]]:
+    """(size in the file, inflated bytes) of each block of a BGZF stream up to its end."""
+    while head := stream.read(18):
+        if len(head) < 18 or head[:4] != _MAGIC:
             raise ValueError("not a BGZF block")
         extra = struct.unpack_from("<H", head, 10)[0]
         field = head[12:18] + stream.read(extra - 6)
@@ -107,9 +113,7 @@ def bgzf_blocks(stream) -> Iterator[bytes]:
         data = zlib.decompress(body[:-8], -15)
         if zlib.crc32(data) != struct.unpack_from("<I", body, len(body) - 8)[0]:
             raise ValueError("BGZF block fails its checksum")
-        if not data:
-            return
-        yield data
+        yield size, data
 
 
 class _Bytes:
@@ -151,9 +155,8 @@ def _bam_tags(raw: bytes) -> dict[str, str]:
     return tags
 
 
-def bam_records(stream) -> Iterator[tuple]:
-    """(qname, flag, rname, pos, mapq, cigar, seq, tags) of a BAM stream."""
-    data = _Bytes(bgzf_blocks(stream))
+def bam_header(data: _Bytes) -> list[str]:
+    """The names of the sequences, with ``data`` left at the first record."""
     if data.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     data.take(struct.unpack("<i", data.take(4))[0])
@@ -161,61 +164,27 @@ def bam_records(stream) -> Iterator[tuple]:
     for _ in range(struct.unpack("<i", data.take(4))[0]):
         names.append(data.take(struct.unpack("<i", data.take(4))[0])[:-1].decode())
         data.take(4)
-    while (size := data.take(4, may_end=True)) is not None:
-        raw = data.take(struct.unpack("<i", size)[0])
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", raw)
-        at = 32
-        qname = raw[at : at + n_name - 1].decode()
-        at += n_name
-        ops = struct.unpack_from(f"<{n_ops}I", raw, at)
-        at += 4 * n_ops
-        packed = raw[at : at + (n_seq + 1) // 2]
-        at += len(packed) + n_seq
-        seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:n_seq]
-        cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
-        yield qname, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq, _bam_tags(raw[at:])
-
-
-class _BamFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    return names
 
 
-class _BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def decoded(raw: bytes, names: list[str]) -> tuple:
+    """(qname, flag, rname, pos, mapq, cigar, seq, tags) of a record without its size."""
+    ref, pos, n_name, mapq, _, n_ops, flag, n_seq = struct.unpack_from("<iiBBHHHi", raw)
+    at = 32
+    qname = raw[at : at + n_name - 1].decode()
+    at += n_name
+    ops = struct.unpack_from(f"<{n_ops}I", raw, at)
+    at += 4 * n_ops
+    packed = raw[at : at + (n_seq + 1) // 2]
+    at += len(packed) + n_seq
+    seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:n_seq]
+    cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
+    return qname, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq, _bam_tags(raw[at:])
 
-    def partitions(self) -> list[_BamFile]:
-        return [_BamFile(p) for p in self.paths]
 
-    def read(self, partition: _BamFile) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(partition.path if "://" in partition.path else f"file://{partition.path}")
-        with system.open_input_stream(path, compression=None) as stream:
-            for number, record in enumerate(bam_records(stream), 1):
-                yield partition.path, number, *record
-
-
-class BamSource(DataSource):
-    """``bam``: decoded BAM records, one partition a file, streamed block by block."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return "path string, line long, qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, tags map<string,string>"
-
-    def reader(self, schema) -> _BamReader:
-        import json
-
-        return _BamReader(json.loads(self.options["paths"]))
-
-
-def read_bam(spark: SparkSession, *paths: str) -> DataFrame:
-    """BAM files with the rich reader's columns."""
-    import json
-
-    spark.dataSource.register(BamSource)
-    return rich_alignments(spark.read.format("bam").option("paths", json.dumps(paths)).load())
+def bam_records(stream) -> Iterator[tuple]:
+    """(qname, flag, rname, pos, mapq, cigar, seq, tags) of a BAM stream."""
+    data = _Bytes(bgzf_blocks(stream))
+    names = bam_header(data)
+    while (size := data.take(4, may_end=True)) is not None:
+        yield decoded(data.take(struct.unpack("<i", size)[0]), names)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from strandloom.sinks import text as sinks
-from strandloom.sources import alignments, annotations
+from strandloom.sources import alignments, annotations, bam_ranges
 
 
 def write(path, content):
@@ -63,14 +63,14 @@ def bam():
 def test_bam_equals_sam_and_truncation_fails(spark, tmp_path):
     path = tmp_path / "a.bam"
     path.write_bytes(bam())
-    (row,) = alignments.read_bam(spark, str(path)).collect()
+    (row,) = bam_ranges.read_bam(spark, str(path)).collect()
     assert (row.qname, row.flag, row.rname, row.pos, row.cigar, row.seq) == ("r1", 0, "chr1", 7, "4S6M2D3N5M", "ACGTACGTACGTACG")
     assert (row.start, row.end, row.query_start, row.query_end) == (6, 22, 4, 15)
     assert row.tags == {"CB": "AA", "NM": "3", "XS": "+", "ZB": "c,1,-1"}
     for cut in (len(bam()) - 28, len(bam()) - 40):
         path.write_bytes(bam()[:cut])
         with pytest.raises(PySparkException):
-            alignments.read_bam(spark, str(path)).collect()
+            bam_ranges.read_bam(spark, str(path)).collect()
 
 
 def test_fasta(spark, tmp_path):
