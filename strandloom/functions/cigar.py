@@ -1,12 +1,15 @@
-"""CIGAR expressions: parsing, exons, spans and blocks, folded inside Catalyst without a UDF.
+"""CIGAR expressions: parsing, exons, spans and blocks, folded inside Catalyst; exons of whole texts by one Arrow kernel a batch.
 
 An operation is a struct (len, op). ``=`` and ``X`` count as ``M`` unless a function says otherwise.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 _OPS = r"(\d+)([A-Za-z])"
 EXONS = "array<struct<start:bigint,end:bigint>>"
@@ -60,6 +63,56 @@ def exons(start: Column, ops: Column) -> Column:
     return F.aggregate(ops, first, step, lambda acc: F.array_append(acc["done"], F.struct(acc["from"].alias("start"), acc["at"].alias("end"))))
 
 
+def exon_lists(starts: pa.Array, cigars: pa.Array) -> pa.Array:
+    """``exons`` of a batch: digits, operations and running offsets of all its texts at once; null where a text or a start is."""
+    texts = cigars.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low = int(bounds[0]) if len(texts) else 0
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[low : int(bounds[-1])] if len(texts) else np.zeros(0, np.uint8)
+    bounds = bounds - low
+    digit = (raw >= 48) & (raw <= 57)
+    last = bounds[1:][np.diff(bounds) > 0] - 1
+    if digit[last].any():
+        row = int(np.searchsorted(bounds, last[digit[last]][0], "right")) - 1
+        raise ValueError(f"CIGAR ends with a length: {cigars[row].as_py()}")
+    letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw == ord("="))
+    at = np.flatnonzero(letter[1:] & digit[:-1]) + 1  # a text's last byte is no digit, so no length runs on into the next text
+    before = np.maximum.accumulate(np.where(digit, -1, np.arange(len(raw))))
+    first = before[at - 1] + 1
+    if len(at) and (at - first).max() > 18:
+        raise ValueError("a CIGAR length has more than 18 digits")
+    length = np.zeros(len(at), dtype=np.int64)
+    for k in range(int((at - first).max()) if len(at) else 0):
+        more = first + k < at
+        length[more] = length[more] * 10 + (raw[first[more] + k] - 48)
+    row = np.searchsorted(bounds, at, "right") - 1
+    op = raw[at]
+    moved = np.where(np.isin(op, np.frombuffer(b"MDN=X", dtype=np.uint8)), length, 0)
+    after = np.concatenate([[0], np.cumsum(moved)])
+    edges = np.searchsorted(row, np.arange(len(texts) + 1))
+    start = starts.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = start - after[edges[:-1]]
+    cut = np.flatnonzero(op == ord("N"))
+    counts = 1 + np.bincount(row[cut], minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+    ends_at = np.cumsum(counts)
+    low_at, high_at = np.ones(int(counts.sum()), bool), np.ones(int(counts.sum()), bool)
+    low_at[ends_at - counts] = high_at[ends_at - 1] = False
+    lows, highs = np.empty(len(low_at), np.int64), np.empty(len(low_at), np.int64)
+    lows[~low_at], highs[~high_at] = start, base + after[edges[1:]]
+    lows[low_at], highs[high_at] = base[row[cut]] + after[cut + 1], base[row[cut]] + after[cut]
+    offsets = np.concatenate([[0], ends_at]).astype(np.int32)
+    known = np.asarray(cigars.is_valid()) & np.asarray(starts.is_valid())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lows), pa.array(highs)], ["start", "end"]), mask=pa.array(~known))
+
+
+_exon_lists = F.arrow_udf(exon_lists, ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))
+
+
+def exons_of(start: Column, cigar: Column) -> Column:
+    """``exons`` of a CIGAR text: stretches of M, D, = and X split at N, from ``start`` on."""
+    return _exon_lists(start.cast("long"), cigar)
+
+
 def introns(exon_array: Column) -> Column:
     """Gaps between consecutive exons: array of (start, end)."""
     n = F.size(exon_array)

@@ -19,7 +19,7 @@ def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _exons(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """The alignments with their exons as a column, so that the fold runs once however often it is read."""
-    return _cigars(spark, sf_dir).withColumn("exons", cigar.exons(F.col("pos") - shift, cigar.operations(F.col("cigar"))))
+    return _cigars(spark, sf_dir).withColumn("exons", cigar.exons_of(F.col("pos") - shift, F.col("cigar")))
 
 
 _CIGAR_SQL = "(SELECT l_orderkey, l_linenumber, l_partkey + 1 AS pos, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 9 + 1 AS k FROM lineitem)"
@@ -58,7 +58,7 @@ def exon_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's line numbers by the order of their exon lists, compared element by element."""
     from pyspark.sql import Window
 
-    found = F.flatten(F.transform(cigar.exons(F.col("pos"), cigar.operations(F.col("cigar"))), lambda e: F.array(e["start"], e["end"])))
+    found = F.flatten(F.transform(cigar.exons_of(F.col("pos"), F.col("cigar")), lambda e: F.array(e["start"], e["end"])))
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("exons", "l_linenumber"))
     return _cigars(spark, sf_dir).withColumn("exons", found).select("l_orderkey", "l_linenumber", rank.alias("place"))
 

@@ -69,7 +69,7 @@ def read_sam_rich(spark: SparkSession, *paths: str) -> DataFrame:
 def sam_to_bed(alignments: DataFrame) -> DataFrame:
     """Primary, placed alignments as BED12 columns: exons of M and D, score the mapping quality."""
     kept = alignments.where((F.col("flag").bitwiseAND(0x904) == 0) & (F.col("pos") > 0) & (F.col("cigar") != "*"))
-    exons = C.exons(F.col("pos") - 1, C.operations(F.col("cigar")))
+    exons = C.exons_of(F.col("pos") - 1, F.col("cigar"))
     rows = kept.withColumn("exons", F.filter(exons, lambda e: e["end"] > e["start"]))
     strand = F.when(F.col("flag").bitwiseAND(16) != 0, "-").otherwise("+")
     return rows.select(F.col("rname").alias("chrom"), F.element_at("exons", 1)["start"].alias("start"), F.element_at("exons", -1)["end"].alias("end"), F.col("qname").alias("name"), F.col("mapq").cast("string").alias("score"), strand.alias("strand"), "exons")
