@@ -38,7 +38,7 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, model=urls.HostModel(counted=urls.count_words(pages)))
+    return urls.judge(pages, words=urls.word_counts(pages))
 
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
