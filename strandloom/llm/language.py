@@ -12,25 +12,30 @@ tie in the order of their names; rows without a language are never learnt from;
 any labelled text makes every document ``und``. Texts are read whole, in blocks of ``BLOCK``
 letters.
 
-Scale: the model is fitted on a bounded sample (at most about ``sample`` documents of each
-language, chosen by a hash of the id) and has a fixed size, ``2**BITS`` floats a language; the
-prediction is one pass without a shuffle.
+Scale: the model is fitted on all labelled documents outside the held-out fold and has a fixed
+size, ``2**BITS`` floats a language; tasks send their trigrams' counts, no texts. The prediction is
+one pass without a shuffle. The limit of clean text is an exact quantile over all labelled held-out
+documents, whose distinct values are counted and ranked by ranges.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from strandloom.operators.ordinals import running_total
+
+from .common import crc_mod, small_batches, staged
 
 BITS = 16
 BLOCK = 1 << 20
-SAMPLE = 4000
+#: Letters of a language that a task gathers before it counts them, and languages that it counts at once.
+GATHERED, AT_ONCE = 1 << 18, 64
 ROUNDS = 12
 _SPACE = 0
 _ALPHA = np.array([chr(i).isalpha() for i in range(0x10000)])
@@ -171,45 +176,67 @@ class MixtureModel:
         return pi
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 3, held_out: int = 1, sample: int = SAMPLE) -> MixtureModel:
-    """The model, from labelled rows outside the held-out fold, at most about ``sample`` of each language."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (crc_mod("_id", fold) != held_out))
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(sizes)
-    if not names:
-        return MixtureModel([], np.zeros((1 << BITS, 0)))
-    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))])
-    chosen = rows.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < share[F.col("_lang")] * 1_000_000)
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    return rows.where(F.col("_text").isNotNull() & F.col("_lang").isNotNull())
+
+
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 3, held_out: int = 1) -> MixtureModel:
+    """The model, from all labelled rows outside the held-out fold."""
+    small_batches(docs.sparkSession)
+    rows = _labelled(docs, id_col, text_col, lang_col).where(crc_mod("_id", fold) != held_out)
 
     def count(batches):
-        total: dict[str | None, np.ndarray] = {}  # of letters under None
+        gathered: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+        total = defaultdict(lambda: np.zeros(1 << BITS, dtype=np.int64))  # of letters, cut to as many, under None
+
+        def settle(lang):
+            points = np.concatenate(gathered.pop(lang))
+            sizes[lang] = 0
+            total[lang] += np.bincount(trigrams(points)[0], minlength=1 << BITS)
+            total[None] += np.bincount(np.minimum(points, 0xFFFF), minlength=1 << BITS)
+
+        def counted():
+            for lang in list(gathered):
+                settle(lang)
+            for lang, vector in total.items():
+                at = np.flatnonzero(vector)
+                at = at if len(at) else np.zeros(1, dtype=np.intp)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(vector[at], pa.int64())], ["lang", "slot", "count"])
+            total.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist(), strict=True):
-                own = total.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
+                _ = total[lang]  # a language without a letter is learnt too
                 for block in blocks(text):
                     points = letters(block)
-                    own += np.bincount(trigrams(points)[0], minlength=1 << BITS)
-                    all_letters = total.setdefault(None, np.zeros(0x10000, dtype=np.int64))
-                    all_letters += np.bincount(np.minimum(points, 0xFFFF), minlength=0x10000)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "counts"])
-
+                    gathered.setdefault(lang, []).append(points)
+                    sizes[lang] = sizes.get(lang, 0) + len(points)
+                    if sizes[lang] > GATHERED:
+                        settle(lang)
+            if len(total) > AT_ONCE:
+                yield from counted()
+        yield from counted()
+
+    found = rows.select("_text", "_lang").mapInArrow(count, "lang string, slot int, count long").groupBy("lang", "slot").agg(F.sum("count").alias("count")).toArrow()
+    of = found.column("lang").to_numpy(zero_copy_only=False)
+    names = sorted(set(of) - {None})
     counts, letter_counts = np.zeros((1 << BITS, len(names))), np.zeros(0x10000)
-    for lang, vector in chosen.select("_text", "_lang").repartition(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        own = letter_counts if lang is None else counts[:, names.index(lang)]
-        own += np.frombuffer(vector, dtype=np.int64)
+    at = {name: k for k, name in enumerate(names)}
+    column = np.array([-1 if lang is None else at[lang] for lang in of], dtype=np.intp)
+    slot, count_of = found.column("slot").to_numpy(), found.column("count").to_numpy()
+    counts[slot[column >= 0], column[column >= 0]] = count_of[column >= 0]
+    letter_counts[slot[column < 0]] = count_of[column < 0]
     return MixtureModel(names, counts, letter_counts=letter_counts)
 
 
-def clean_limit(docs: DataFrame, model: MixtureModel, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 3, held_out: int = 1, sample: int = SAMPLE) -> float:
-    """A quarter of the evidence that 99 % of at most about ``sample`` labelled held-out documents pass; at least 0."""
+def clean_limit(docs: DataFrame, model: MixtureModel, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 3, held_out: int = 1) -> float:
+    """A quarter of the evidence that 99 % of all labelled held-out documents with a letter pass; at least 0."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang")).where(F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (crc_mod("_id", fold) == held_out))
-    share = min(1.0, sample / max(1, rows.count()))
+    rows = _labelled(docs, id_col, text_col, lang_col).where(crc_mod("_id", fold) == held_out)
 
     def weigh(batches):
         for batch in batches:
@@ -219,9 +246,20 @@ def clean_limit(docs: DataFrame, model: MixtureModel, *, id_col: str = "doc_id",
                 shared.value.fit(texts[part], evidence)
                 yield pa.RecordBatch.from_arrays([pa.array(evidence, pa.float64())], ["evidence"])
 
-    chosen = rows.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("_text")
-    found = [r.evidence for r in chosen.mapInArrow(weigh, "evidence double").collect() if r.evidence > -math.inf]
-    return max(0.0, 0.25 * float(np.quantile(found, 0.01))) if found else 0.0
+    found = rows.select("_text").mapInArrow(weigh, "evidence double").where(F.col("evidence") > -math.inf)
+    return max(0.0, 0.25 * (quantile(found, "evidence", 0.01) or 0.0))
+
+
+def quantile(values: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile, as ``numpy.quantile`` has it, of all rows' values; None without rows."""
+    counted = staged(values.groupBy(column).agg(F.count(F.lit(1)).alias("_count")), "quantile")
+    n = counted.agg(F.sum("_count")).first()[0]
+    if not n:
+        return None
+    at = share * (n - 1)
+    upto = running_total(counted, column, "_count", out="_upto")
+    low, high = upto.agg(*(F.min(F.when(F.col("_upto") > k, F.col(column))) for k in (math.floor(at), math.ceil(at)))).first()
+    return low + (high - low) * (at - math.floor(at))
 
 
 def identify(docs: DataFrame, model: MixtureModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,6 +130,38 @@ def test_only_learnt_languages_are_kept(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [4, *(10_000 + r[0] for r in rows if r not in unseen)]
 
 
+def test_language_model_and_limit_use_all_documents(docs):
+    rng = random.Random(11)
+    own = {"a": ["sti", "nor", "eld", "av"], "b": ["zuk", "oly", "wer", "ip"]}
+    rows = [(i, " ".join("".join(rng.choice(own["ab"[i % 2]]) for _ in range(rng.randint(1, 3))) + rng.choice(["", "q", "x"]) for _ in range(rng.randint(1, 6))), "ab"[i % 2]) for i in range(14_000)]
+    rows += [(14_000, "", "c"), (14_001, "", "c"), (14_002, "", "c"), (14_003, None, "d")]
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    frame = docs(rows).repartition(5)
+    model = language.learn(frame)
+    assert model.names == ["a", "b", "c"]
+    counts, letter_counts = np.zeros((1 << language.BITS, 3)), np.zeros(0x10000)
+    for i, text, lang in rows:
+        if text and zlib.crc32(str(i).encode()) % 3 != 1:
+            points = language.letters(text)
+            np.add.at(counts[:, "abc".index(lang)], language.trigrams(points)[0], 1)
+            np.add.at(letter_counts, points, 1)
+    want = language.MixtureModel(["a", "b", "c"], counts, letter_counts=letter_counts)
+    assert (model.log_p == want.log_p).all() and (model.log_letter == want.log_letter).all()
+    evidence = []
+    model.fit([r[1] for r in held if r[1]], evidence)
+    limit = 0.25 * float(np.quantile(evidence, 0.01))
+    assert len(evidence) > 4000 and language.clean_limit(frame, model) == pytest.approx(limit, rel=1e-5) and limit > 0
+
+
+def test_exact_quantile(spark):
+    rng = random.Random(2)
+    for values in ([], [3.5], [rng.choice([-1.0, 0.0, 2.5]) for _ in range(300)], [rng.gauss(0, 5) for _ in range(2001)]):
+        frame = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+        for share in (0.0, 0.01, 0.37, 1.0):
+            found = language.quantile(frame, "x", share)
+            assert found is None if not values else found == pytest.approx(float(np.quantile(values, share)))
+
+
 def test_language_blocks_do_not_split_words(monkeypatch):
     text = "über die schöne Welt " * 30
     whole = [language.letters(text)]
