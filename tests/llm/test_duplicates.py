@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -151,6 +152,42 @@ def test_embedding_tiles(spark, monkeypatch):
     assert check_vectors(spark, vectors(7, 4)) > 5
 
 
+def test_embedding_shards_and_blocks(spark, monkeypatch):
+    for name, size in {"SHARD": 7, "BLOCK": 3, "TILE": 3}.items():
+        monkeypatch.setattr(embeddings, name, size)
+    assert check_vectors(spark, vectors(5, 20)) > 20
+
+
+def test_embedding_search_writes_less_than_its_input(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    data = [(i, v, 1) for i, v in enumerate(rng.normal(size=(3000, 64)).tolist())]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/input")
+    size = lambda frame: sum(Path(f.removeprefix("file://")).stat().st_size for f in frame.inputFiles())
+    written, write = [], embeddings.staged
+    monkeypatch.setattr(embeddings, "staged", lambda *a: written.append(write(*a)) or written[-1])
+    rows = spark.read.parquet(f"file://{tmp_path}/input")
+    assert embeddings.embedding_duplicates(rows).where("kept AND n_links = 0").count() == 3000
+    assert sum(map(size, written)) < size(rows)
+
+
+def test_near_codes_make_groups():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 40))
+    x = np.repeat(x, 3, axis=0) + rng.normal(size=(1200, 40)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coder = embeddings.Coder.fit(x, 4)
+    codes = embeddings._codes(x, coder.axes)
+    most = coder.reach(0.98)
+    wide = codes.astype(int)
+    linked = ((wide[:, None] - wide[None]) ** 2).sum(axis=2) <= most
+    assert (linked >= (x @ x.T >= 0.98)).all()
+    np.fill_diagonal(linked, False)
+    want = np.where(linked.any(axis=1), closed(1200, linked.tolist()), -1)
+    assert coder.near(codes, codes, most, same=True).tolist() == want.tolist()
+    across = coder.near(codes[::2], codes[1::2], most, same=False)
+    assert ((across >= 0) == np.concatenate((linked[::2, 1::2].any(axis=1), linked[::2, 1::2].any(axis=0)))).all()
+
+
 def test_index_visits_cells_in_order_and_misses_no_link():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 12))
