@@ -21,8 +21,10 @@ class PeakSettings:
 
 def best_peak(positions: np.ndarray, counts: np.ndarray, window: int, *, first: bool) -> int:
     """Index of the position with the most weight, near reads counting less with distance; the first (or last) position on ties."""
-    distance = np.abs(positions[:, None] - positions[None, :])
-    weight = (np.where(distance < window, (window - distance) / window, 0.0) * counts).sum(axis=1)
+    weight = np.empty(len(positions))
+    for at in range(0, len(positions), 256):  # a slice of the matrix of distances at a time
+        distance = np.abs(positions[at : at + 256, None] - positions[None, :])
+        weight[at : at + 256] = (np.where(distance < window, (window - distance) / window, 0.0) * counts).sum(axis=1)
     return int(np.argmax(weight)) if first else len(weight) - 1 - int(np.argmax(weight[::-1]))
 
 

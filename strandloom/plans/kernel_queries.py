@@ -6,14 +6,18 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import changepoints, exon_calls, peaks
 from ..kernels.dirichlet import UsageSettings
 from ..operators import paths, usage
+from ..operators.streams import key_groups
 from .tables import events, read, shipments
 
+_PEAKS = pa.schema([("l_suppkey", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("support", pa.float64())])
+
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change points of each user's values in order of time."""
@@ -28,19 +32,18 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def end_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start and end peaks of each supplier's shipment intervals; the kernel sees counted ends only."""
+    """Start and end peaks of each supplier's shipment intervals; the kernel sees counted ends only, one supplier at a time."""
     counted = shipments(spark, sf_dir).groupBy("l_suppkey", "d", "f").agg(F.count(F.lit(1)).alias("n"))
-    gathered = counted.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("d", "f", "n"))).alias("ends"))
+    dealt = counted.repartition("l_suppkey").sortWithinPartitions("l_suppkey", "d", "f")
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                ends = Counter({(e["d"], e["f"]): e["n"] for e in r.ends})
-                out += [(r.l_suppkey, a, b, float(n)) for a, b, n in peaks.chain_ends(ends, peaks.PeakSettings(support=0.1), junctions=(float("inf"), float("-inf")))]
-            yield pd.DataFrame(out, columns=["l_suppkey", "start", "end", "support"])
+    def run(batches):
+        for (supplier,), group in key_groups(batches, ["l_suppkey"]):
+            d, f, n = (group.column(c).to_pylist() for c in ("d", "f", "n"))
+            ends = Counter(dict(zip(zip(d, f, strict=True), n, strict=True)))
+            found = peaks.chain_ends(ends, peaks.PeakSettings(support=0.1), junctions=(float("inf"), float("-inf")))
+            yield pa.RecordBatch.from_pylist([{"l_suppkey": supplier, "start": a, "end": b, "support": float(k)} for a, b, k in found], _PEAKS)
 
-    return gathered.mapInPandas(run, "l_suppkey long, start long, end long, support double")
+    return dealt.mapInArrow(run, "l_suppkey long, start long, end long, support double")
 
 
 def coverage_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
