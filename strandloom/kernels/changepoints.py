@@ -105,7 +105,7 @@ def change_points(values: np.ndarray, *, p: float = 0.01, fold: float = 0.85, le
     x = np.asarray(values, dtype=np.float32)
     if len(x) < window:
         return []
-    slope = slopes(smooth(x, window))
+    slope: np.ndarray | None = None  # smoothed only where a point passes the tests
     found: list[ChangePoint] = []
     todo = [(0, len(x))]
     while todo:
@@ -119,11 +119,15 @@ def change_points(values: np.ndarray, *, p: float = 0.01, fold: float = 0.85, le
         if split < 0 or steps[split] <= 1:
             continue
         i = int(steps[split])
-        score = rank_test(short[:split], short[split:])
         means = sorted(_in_order(y) / np.float32(len(y)) for y in (part[:i], part[i:]))
         ratio = float(means[0] / means[1]) if means[1] else math.nan
-        if score >= p or ratio >= fold:
+        if ratio >= fold:
+            continue
+        score = rank_test(short[:split], short[split:])
+        if score >= p:
             continue
+        if slope is None:
+            slope = slopes(smooth(x, window))
         left, right, sign = same_sign_run(slope, a + i)
         if not left or not right:
             continue

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
+
+import numpy as np
 
 from .path_graph import PathGraph
 from .splice_graph import Frag, Guide, SpliceGraph, Walk
@@ -39,7 +41,7 @@ class KGraph:
     lost: int
     weight: float
 
-    @property
+    @cached_property
     def valid(self) -> bool:
         return self.graph.connected()
 
@@ -58,7 +60,10 @@ def k_graph(walks: list[Walk], k: int) -> KGraph:
         graph.add([nodes[i : i + k] for i in range(max(len(nodes) - k, 0) + 1)], w.frag.expr, from_source=w.from_source, to_sink=w.to_sink)
         weight += w.frag.expr
     lost = graph.prune()
-    return KGraph(k, graph, short, lost if graph.connected() else lost + 2, weight)  # without a way through, source and sink are lost too
+    found = KGraph(k, graph, short, lost, weight)
+    if not found.valid:  # without a way through, source and sink are lost too
+        found.lost += 2
+    return found
 
 
 def best_of_range(most: int, score: Callable[[int], int]) -> int:
@@ -91,6 +96,7 @@ def choose_k(walks: list[Walk], k_most: int = 0) -> tuple[KGraph, list[dict]]:
     most = max(1, max(len(w.nodes) for w in walks))
     most = min(k_most, most) if k_most else most
     rows: list[dict] = []
+    graphs: dict[int, KGraph] = {}
 
     def row(g: KGraph, lost: tuple[int, float], chosen: bool) -> int:
         share = g.weight / total if total else 0.0
@@ -99,11 +105,11 @@ def choose_k(walks: list[Walk], k_most: int = 0) -> tuple[KGraph, list[dict]]:
         return score
 
     def tried(k: int) -> int:
-        g = k_graph(walks, k)
+        g = graphs[k] = k_graph(walks, k)
         score = row(g, (0, 0.0), False)
         return score if g.valid else -k
 
-    best = k_graph(walks, best_of_range(most, tried))
+    best = graphs[best_of_range(most, tried)]
     row(best, rescue(best), True)
     return best, rows
 
@@ -163,15 +169,30 @@ def cluster_paths(paths: list[tuple[list[int], float]], share: float) -> list[Cl
     return [clusters[k] for k in sorted(clusters)]
 
 
-def assemble(strand: str, frags: list[Frag], settings: AssemblySettings) -> dict[str, list[dict]]:
+def _lone(strand: str, frag: Frag) -> dict | None:
+    """The isoform of one plain frag by itself, as its graph would give it; None where that is not plain to see."""
+    edges = [p for e in frag.exons for p in e]
+    flow = float(np.float32(frag.expr))
+    if frag.known or strand not in ("+", "-") or not flow >= 1e-6 or any(a >= b for a, b in zip(edges, edges[1:], strict=False)):
+        return None
+    return {"part": 0, "graph_start": edges[0], "graph_end": edges[-1], "gene": 0, "rank": 0, "site": 0, "exons": [{"start": a, "end": b} for a, b in frag.exons], "flow": flow, "share": 1.0, "gene_share": flow / (Cluster([]).flow + flow)}
+
+
+def assemble(strand: str, frags: list[Frag], settings: AssemblySettings, *, isoforms_only: bool = False) -> dict[str, list[dict]]:
     """Rows by kind (cover, node, change, tried, isoform) of one strand's frags, which may fall into several parts.
 
     Isoforms carry their part, their gene within it and their start site's number within the gene.
+    ``isoforms_only``: the other kinds stay empty where isoforms do not need them.
     """
+    if isoforms_only:
+        lone = _lone(strand, frags[0]) if len(frags) == 1 else None
+        if lone or strand not in ("+", "-") and not settings.unstranded:
+            return {"isoform": [lone] if lone else []}
     whole = SpliceGraph(strand, frags, settings.guide)
     out: dict[str, list[dict]] = {kind: [] for kind in ("cover", "node", "change", "tried", "isoform")}
-    starts, ends, values = whole.coverage.runs()
-    out["cover"] = [{"start": a, "end": b, "value": v} for a, b, v in zip(starts.tolist(), ends.tolist(), values.tolist(), strict=True)]
+    if not isoforms_only:
+        starts, ends, values = whole.coverage.runs()
+        out["cover"] = [{"start": a, "end": b, "value": v} for a, b, v in zip(starts.tolist(), ends.tolist(), values.tolist(), strict=True)]
     if strand not in ("+", "-") and not settings.unstranded:
         return out
     for part, graph in enumerate(whole.parts() if whole.walks else []):
@@ -181,7 +202,7 @@ def assemble(strand: str, frags: list[Frag], settings: AssemblySettings) -> dict
         if found:
             graph = graph.changed(found, trim=settings.trim)
             place |= {"graph_start": graph.low, "graph_end": graph.high}
-        out["node"] += [{**place, **row} for row in graph.node_rows()]
+        out["node"] += [] if isoforms_only else [{**place, **row} for row in graph.node_rows()]
         best, tried = choose_k(graph.walks, settings.k_most)
         out["tried"] += [{**place, "at": at, **row} for at, row in enumerate(tried)]
         if not best.valid or not best.kmers():

@@ -56,6 +56,11 @@ class Coverage:
         on = self.values > 0
         return self.edges[1:-1][on[1:] != on[:-1]].tolist()
 
+    def steps(self, bounds: np.ndarray) -> np.ndarray:
+        """How often the value changes inside each stretch between two neighbouring bounds."""
+        at = self.edges[1:-1][self.values[1:] != self.values[:-1]]
+        return np.searchsorted(at, bounds[1:], "left") - np.searchsorted(at, bounds[:-1], "right")
+
     def bases(self, start: int, end: int) -> np.ndarray:
         """The value of every base."""
         a, b = np.searchsorted(self.edges, start, "right") - 1, np.searchsorted(self.edges, end)
@@ -165,11 +170,12 @@ class SpliceGraph:
         return [self] if len(groups) < 2 else [SpliceGraph(self.strand, g, self.guide) for g in groups.values()]
 
     def changes(self, p: float, fold: float) -> list[ChangePoint]:
-        """Change points of the coverage of every node."""
+        """Change points of the coverage of every node; one that changes less than twice has none."""
         found = []
+        steps = self.coverage.steps(self.bounds).tolist()
         for n in self.nodes():
             start, end = self.span(n)
-            if end - start >= CHANGE_WINDOW:
+            if steps[n] > 1 and end - start >= CHANGE_WINDOW:
                 found += [ChangePoint(c.pos + start, c.start + start, c.end + start, c.p, c.ratio, c.sign) for c in change_points(self.coverage.bases(start, end), p=p, fold=fold, window=CHANGE_WINDOW)]
         return found
 

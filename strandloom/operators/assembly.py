@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels.isoforms import AssemblySettings, assemble
+from ..kernels.loci import Transfrag, numbered_isoforms
 from ..kernels.splice_graph import Frag
 from .components import connected_components
 from .intervals import cluster_intervals, interval_join
@@ -34,6 +38,8 @@ _KINDS = {
 }
 #: Bases of a bin, the part of a chromosome that one task scans.
 BIN = 1 << 16
+#: The most transfrags of a chromosome that one task assembles whole; longer ones go by tables.
+WHOLE = 4096
 #: Where a transfrag stands among those of its strand: those whose strand was given come first.
 _ORDER = "struct<round: int, start: bigint, sample_ord: bigint, ord: bigint>"
 
@@ -185,6 +191,64 @@ def assemble_transfrags(frags: DataFrame, settings: AssemblySettings = AssemblyS
     return Assembly(located, loci, rows["cover"], junctions, rows["node"], rows["change"], rows["tried"], _numbered(rows["isoform"]))
 
 
+def assembled_isoforms(frags: DataFrame, settings: AssemblySettings = AssemblySettings()) -> DataFrame:
+    """The isoforms of ``assemble_transfrags``, for many chromosomes of few transfrags: each of them is one task's work from its loci on.
+
+    Numbers run along a chromosome first and are then shifted by those of the chromosomes before it;
+    the chromosomes of more than ``WHOLE`` transfrags are assembled by tables and shifted likewise.
+    """
+    frags = staged(frags.where((F.size("exons") > 0) & F.col("chrom").isNotNull()), "assembly-input")
+    deep = staged(frags.groupBy("chrom").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("chrom"), "assembly-deep")
+    none = deep.isEmpty()
+    numbers = ["locus", "gene", "tss", "transcript"]
+    found = staged(_whole(frags if none else frags.join(deep, "chrom", "left_anti"), settings), "assembly-whole")
+    isoforms, sizes = found.where("strand <> ''"), found.where("strand = ''").select("chrom", *numbers)
+    if not none:
+        tabled = assemble_transfrags(frags.join(deep, "chrom"), settings)
+        spans = tabled.loci.groupBy("chrom").agg(F.min("locus").alias("_locus"), F.max("locus").alias("_last"))
+        starts = tabled.isoforms.groupBy("chrom").agg(*(f(k).alias(f"{name}{k}") for k in numbers[1:] for f, name in ((F.min, "_"), (F.max, "_last_"))))
+        spans = staged(spans.join(starts, "chrom", "left"), "assembly-spans")
+        own = tabled.isoforms.join(spans, "chrom").select("chrom", "strand", *((F.col(k) - F.col(f"_{k}") + 1).alias(k) for k in numbers), "exons", "flow", "share", "gene_share")
+        isoforms = isoforms.unionByName(own)
+        sizes = sizes.unionByName(spans.select("chrom", (F.col("_last") - F.col("_locus") + 1).alias("locus"), *(F.coalesce(F.col(f"_last_{k}") - F.col(f"_{k}") + 1, F.lit(0)).alias(k) for k in numbers[1:])))
+    along = Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)  # a row a chromosome
+    before = sizes.select(F.col("chrom").alias("_chrom"), *(F.coalesce(F.sum(k).over(along), F.lit(0)).alias(f"_{k}") for k in numbers))
+    shifted = isoforms.join(before, F.col("chrom") == F.col("_chrom"))
+    return shifted.select("chrom", "strand", *((F.col(k) + F.col(f"_{k}")).alias(k) for k in numbers), "exons", "flow", "share", "gene_share")
+
+
+def _whole(frags: DataFrame, settings: AssemblySettings) -> DataFrame:
+    """Numbered isoforms of whole chromosomes, and for each one a row without a strand that has all its numbers."""
+    fields = "chrom string, strand string, locus long, gene long, tss long, transcript long, exons array<struct<start: bigint, end: bigint>>, flow double, share double, gene_share double"
+    exons = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    types = [pa.string(), pa.string(), *[pa.int64()] * 4, exons, *[pa.float64()] * 3]
+    names = ["chrom", "strand", "locus", "gene", "tss", "transcript", "exons", "flow", "share", "gene_share"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Transfrag]]:
+        for batch in batches:
+            column = batch.column("exons")
+            starts, ends = (column.flatten().field(k).to_pylist() for k in (0, 1))
+            at = 0
+            for n, chrom, strand, expr, sample, ord_, is_ref in zip(column.value_lengths().to_pylist(), *(batch.column(c).to_pylist() for c in ("chrom", "strand", "expr", "sample_ord", "ord", "is_ref")), strict=True):
+                yield chrom, Transfrag(list(zip(starts[at : at + n], ends[at : at + n], strict=True)), strand, expr, (sample, ord_), is_ref)
+                at += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*made, strict=True), types, strict=True)], names)
+        for chrom, group in groupby(rows(batches), key=itemgetter(0)):
+            for locus, gene, tss, transcript, strand, row in numbered_isoforms([f for _, f in group], settings):
+                made.append((chrom, strand, locus, gene, tss, transcript, *(row.get(k) for k in names[-4:])))
+            if len(made) > 1000:
+                yield pack()
+                made.clear()
+        if made:
+            yield pack()
+
+    dealt = frags.select("chrom", "strand", "exons", F.col("expr").cast("double").alias("expr"), "sample_ord", "ord", "is_ref").repartition("chrom").sortWithinPartitions("chrom")
+    return dealt.mapInArrow(run, fields)
+
+
 def _numbered(isoforms: DataFrame) -> DataFrame:
     """Isoforms with transcript, gene and tss numbers, each counted through without a window over all rows."""
     ordered = global_row_number(isoforms, "locus", [strand_order(F.col("strand")), "first", "part", "gene", "rank"], out="transcript")

@@ -58,7 +58,7 @@ def _strands_sql(rounds: int = 12) -> str:
 
 def splice_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isoforms assembled from the orders of each customer, with their numbers."""
-    found = assembly.assemble_transfrags(_transfrags(spark, sf_dir)).isoforms
+    found = assembly.assembled_isoforms(_transfrags(spark, sf_dir))
     return found.select("chrom", "strand", "locus", "gene", "tss", "transcript", F.to_json("exons").alias("exons"), F.round("flow", 3).alias("flow"), F.round("share", 5).alias("share"))
 
 

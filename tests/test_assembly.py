@@ -2,6 +2,7 @@ import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 
 from strandloom.kernels.isoforms import AssemblySettings
@@ -190,3 +191,21 @@ def test_files_of_a_job_that_lost_a_task_are_whole(tmp_path):
     assert (tmp_path / "failed").exists()
     parts = sorted((tmp_path / "out" / "a.txt").glob("part-*"))
     assert [x for p in parts for x in p.read_text().split()] == [str(k) for k in range(1000)]
+
+
+@pytest.mark.parametrize("whole, settings", [(4096, AssemblySettings()), (25, AssemblySettings(unstranded=True, change_points=False)), (0, AssemblySettings())])
+def test_whole_chromosomes_equal_tables(frags, monkeypatch, whole, settings):
+    monkeypatch.setattr(A, "WHOLE", whole)
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(120):
+        edges = np.sort(rng.choice(60, 2 * int(rng.integers(1, 4)), replace=False)) * 20 + int(rng.integers(0, 3)) * 900
+        rows.append((int(rng.integers(1, 3)), f"c{int(rng.integers(0, 5)) ** 2 // 4}", "+-..."[int(rng.integers(0, 5))], [(int(a), int(b)) for a, b in edges.reshape(-1, 2)], int(rng.integers(1, 9))))
+    rows += [(1, "d", ".", [(5, 9)], 1), (1, "e", "-", [(5, 9), (9, 12)], 2), (1, "e", "+", [(12, 19)], 2), (2, "e", "-", [(5, 9), (9, 12)], 2)]
+    table = frags(rows)
+    want, found = (sorted((r.transcript, r.chrom, r.strand, r.locus, r.gene, r.tss, [tuple(e) for e in r.exons], round(r.flow, 3), round(r.share, 5), round(r.gene_share, 5)) for r in f.collect()) for f in (A.assemble_transfrags(table, settings).isoforms, A.assembled_isoforms(table, settings)))
+    assert found == want and len(found) > 20
+
+
+def test_whole_chromosomes_of_no_rows(frags):
+    assert A.assembled_isoforms(frags([])).count() == 0
